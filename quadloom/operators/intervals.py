@@ -23,26 +23,22 @@ TILE_BITS = 11
 OPEN = (1 << BITS) - 1
 
 
-def dyadic_blocks(lo: Column, hi: Column, bits: int = BITS) -> Column:
-    """ARRAY<STRUCT<level INT, idx BIGINT>>: the canonical blocks of lo..hi (both included).
+def dyadic_blocks(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """(keep, level INT, idx BIGINT): the canonical blocks of each row's lo..hi (both included, lo <= hi).
 
     At level l the part not yet covered runs from ceil(lo / 2**l) to floor((hi + 1) / 2**l), and a block is due at its
-    left end if that is odd and at its right end if that is odd.
+    left end if that is odd and at its right end if that is odd. Every row meets each level up to that of its length
+    twice, once for either end; plain columns keep this inside generated code.
     """
-
-    def at(level: Column) -> Column:
-        size = F.call_function("shiftleft", F.lit(1).cast("bigint"), level)
-        a = F.floor((lo + size - 1) / size).cast("bigint")
-        e = F.floor((hi + 1) / size).cast("bigint")
-        left = F.struct(level.cast("int").alias("level"), a.alias("idx"))
-        right = F.struct(level.cast("int").alias("level"), (e - 1).alias("idx"))
-        none = F.array().cast("array<struct<level:int,idx:bigint>>")
-        return F.concat(
-            F.when((a < e) & (a % 2 == 1), F.array(left)).otherwise(none),
-            F.when((a < e) & (e % 2 == 1), F.array(right)).otherwise(none),
-        )
-
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(bits)), at))
+    levels = F.floor(F.log2(F.col("hi") - F.col("lo") + 1)).cast("int")
+    a, e = F.expr("shiftright(lo + shiftleft(1L, level) - 1, level)"), F.expr("shiftright(hi + 1, level)")
+    return (
+        rows.select(*keep, "lo", "hi", F.explode(F.sequence(F.lit(0), levels * 2 + 1)).alias("_c"))
+        .select(*keep, "lo", "hi", F.expr("shiftright(_c, 1)").alias("level"), (F.col("_c") % 2).alias("_side"))
+        .select(*keep, "level", "_side", a.alias("_a"), e.alias("_e"))
+        .where((F.col("_a") < F.col("_e")) & (F.when(F.col("_side") == 0, F.col("_a")).otherwise(F.col("_e")) % 2 == 1))
+        .select(*keep, "level", F.when(F.col("_side") == 0, F.col("_a")).otherwise(F.col("_e") - 1).alias("idx"))
+    )
 
 
 def _uncovered(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -100,9 +96,7 @@ def covered_runs(df: DataFrame, key: str, lo: str, hi: str) -> DataFrame:
         F.col("key").isNotNull() & (F.col("lo") <= F.col("hi")) & (F.col("lo") >= 0) & (F.col("hi") <= OPEN)
     )
     blocks = (
-        rows.dropDuplicates()
-        .select("key", F.explode(dyadic_blocks(F.col("lo"), F.col("hi"))).alias("b"))
-        .select("key", F.col("b.level").alias("level"), F.col("b.idx").alias("idx"))
+        dyadic_blocks(rows.dropDuplicates(), ["key"])
         .dropDuplicates()
         .select("key", F.expr("shiftleft(idx, level)").alias("first"), F.expr("shiftleft(idx + 1, level) - 1").alias("last"))
     )
