@@ -341,7 +341,10 @@ _OPEN: dict[int, Reader] = {}
 
 
 def fitted_table(documents: DataFrame) -> np.ndarray:
-    """Fit on at most SAMPLE_DOCS labelled documents, those of least hash of their id."""
+    """Fit on at most SAMPLE_DOCS labelled documents, those of least hash of their id.
+
+    The sample is read and fitted in one task on an executor; only the table comes back.
+    """
     code = label_code(F.col("lang")).alias("code")
     rows = (
         documents.select("doc_id", "text", code)
@@ -349,9 +352,20 @@ def fitted_table(documents: DataFrame) -> np.ndarray:
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(SAMPLE_DOCS)
         .select("text", "code")
-        .collect()
+        .coalesce(1)
     )
-    return fit([r.text for r in rows], [r.code for r in rows])
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: list[str] = []
+        codes: list[str] = []
+        for b in batches:
+            texts += b.column(0).to_pylist()
+            codes += b.column(1).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([fit(texts, codes).tobytes()], pa.binary())], names=["table"])
+
+    found = rows.mapInArrow(fitted, "table binary").collect()
+    data = bytes(found[0].table) if found else fit([], []).tobytes()
+    return np.frombuffer(data, dtype=np.float32).reshape(BUCKETS, _K)
 
 
 def text_evidence(documents: DataFrame, table: np.ndarray) -> DataFrame:
