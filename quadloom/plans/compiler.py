@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,28 +12,55 @@ from pyspark.sql import functions as F
 from quadloom.operators.graph import reaches, scan
 from quadloom.plans.query import Const, Filter, Group, Pattern, Query, QueryError, Var, parse
 
-#: Facts of a predicate, for the order of patterns; missing ones count as MANY.
-Sizes = Mapping[str, int]
-MANY = 1 << 40
-
-
-def estimate(pattern: Pattern, sizes: Sizes) -> float:
-    """Facts that a pattern is expected to match: those of its predicate, fewer for a fixed subject or object."""
-    n = float(sizes.get(pattern.p.value, MANY)) if isinstance(pattern.p, Const) else float(max(sizes.values(), default=MANY)) * max(len(sizes), 1)
-    if isinstance(pattern.s, Const):
-        n /= 1e4
-    if isinstance(pattern.o, Const):
-        n /= 1e3
+@dataclass(frozen=True)
+class Size:
+    """Facts of a predicate, and its distinct subjects and objects."""
+
+    facts: float
+    subjects: float
+    objects: float
+
+
+#: Sizes by predicate, for the order of patterns.
+Sizes = Mapping[str, Size]
+UNKNOWN = Size(1e12, 1e9, 1e9)
+
+
+def predicate_sizes(facts: DataFrame, limit: int = 100_000) -> dict[str, Size]:
+    """Sizes of every predicate in one aggregation; distinct terms are estimated. At most `limit` predicates are read."""
+    rows = (
+        facts.groupBy("p")
+        .agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("s").alias("ds"), F.approx_count_distinct("o").alias("do"))
+        .limit(limit)
+        .collect()
+    )
+    return {r.p: Size(float(r.n), float(max(r.ds, 1)), float(max(r.do, 1))) for r in rows}
+
+
+def growth(pattern: Pattern, bound: set[str], sizes: Sizes) -> float:
+    """Facts that match a pattern for one binding of the variables in `bound`, expected from the sizes."""
+    if isinstance(pattern.p, Const):
+        size = sizes.get(pattern.p.value, UNKNOWN)
+    else:
+        every = list(sizes.values()) or [UNKNOWN]
+        size = Size(sum(x.facts for x in every), max(x.subjects for x in every), max(x.objects for x in every))
+    n = size.facts
+    for term, distinct in ((pattern.s, size.subjects), (pattern.o, size.objects)):
+        if isinstance(term, Const) or term.name in bound:
+            n /= distinct
     return n
 
 
 def order_patterns(patterns: list[Pattern], sizes: Sizes | None = None) -> list[Pattern]:
-    """Smallest first, then always the smallest that shares a variable with those before, if any does."""
+    """Smallest first, then always the one of least growth among those that share a variable with the ones before.
+
+    So a pattern that closes a ring, with both ends bound, comes as soon as it can.
+    """
     sizes = sizes or {}
     left, out, bound = list(patterns), [], set()
     while left:
         near = [p for p in left if bound.intersection(p.variables())] or left
-        best = min(near, key=lambda p: (estimate(p, sizes), -len(bound.intersection(p.variables()))))
+        best = min(near, key=lambda p: growth(p, bound, sizes))
         left.remove(best)
         out.append(best)
         bound.update(best.variables())

@@ -116,10 +116,10 @@ class GraphStore:
     def hyper(self, version: int | None = None) -> DataFrame:
         return self.spark.read.schema(HYPER).parquet(f"{self._dir(version)}/hyper")
 
-    def sizes(self) -> dict[str, int]:
-        """Facts per predicate, from the statistics; at most 100,000 predicates are read."""
-        rows = self.spark.read.schema("p string, n bigint").parquet(f"{self._dir()}/stats").limit(100_000).collect()
-        return {r.p: r.n for r in rows}
+    def sizes(self) -> dict[str, compiler.Size]:
+        """Sizes per predicate, from the statistics; at most 100,000 predicates are read."""
+        rows = self.predicates().limit(100_000).collect()
+        return {r.p: compiler.Size(float(r.n), float(max(r.subjects, 1)), float(max(r.objects, 1))) for r in rows}
 
     def _write(self, target: str, facts: DataFrame, hyper: DataFrame | None, mode: str) -> None:
         # Rows of one predicate are spread by subject, so that a predicate with most facts is not one task.
@@ -128,7 +128,8 @@ class GraphStore:
         if hyper is not None:
             hyper.select("hid", "subject", "predicate", "objects", "stime", "etime").write.mode(mode).parquet(f"{target}/hyper")
         stored = self.spark.read.schema(FACTS).parquet(f"{target}/facts")
-        stored.groupBy("p").agg(F.count(F.lit(1)).alias("n")).coalesce(1).write.mode("overwrite").parquet(f"{target}/stats")
+        terms = [F.approx_count_distinct(c).alias(n) for c, n in (("s", "subjects"), ("o", "objects"))]
+        stored.groupBy("p").agg(F.count(F.lit(1)).alias("n"), *terms).coalesce(1).write.mode("overwrite").parquet(f"{target}/stats")
 
     def _new_version(self, facts: DataFrame, hyper: DataFrame) -> int:
         version = (self.versions() or [0])[-1] + 1
@@ -186,5 +187,5 @@ class GraphStore:
         return stats(self.facts(), kind)
 
     def predicates(self) -> DataFrame:
-        """(p, n): the predicates and their facts."""
-        return self.spark.read.schema("p string, n bigint").parquet(f"{self._dir()}/stats")
+        """(p, n, subjects, objects): the predicates, their facts, and estimates of their distinct terms."""
+        return self.spark.read.schema("p string, n bigint, subjects bigint, objects bigint").parquet(f"{self._dir()}/stats")
