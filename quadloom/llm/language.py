@@ -346,14 +346,10 @@ def fitted_table(documents: DataFrame) -> np.ndarray:
     The sample is read and fitted in one task on an executor; only the table comes back.
     """
     code = label_code(F.col("lang")).alias("code")
-    rows = (
-        documents.select("doc_id", "text", code)
-        .where(F.col("code").isNotNull() & F.length("text").between(1, SAMPLE_CHARS))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(SAMPLE_DOCS)
-        .select("text", "code")
-        .coalesce(1)
-    )
+    able = documents.select("doc_id", "text", code).where(F.col("code").isNotNull() & F.length("text").between(1, SAMPLE_CHARS))
+    # Only ids are sorted and sent, at most SAMPLE_DOCS by a task; the texts follow by a join with the chosen ids.
+    chosen = able.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
+    rows = able.join(F.broadcast(chosen), "doc_id", "left_semi").select("text", "code").limit(SAMPLE_DOCS).coalesce(1)
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: list[str] = []
