@@ -350,7 +350,9 @@ for _name, _args in {
     "hyper_so": ("customer/1328", "", "part/209"), "hyper_po": ("", "placed", "part/209"), "hyper_spo": ("customer/1328", "placed", "part/209"),
 }.items():
     QUERIES[_name] = lambda spark, d, a=_args: store.search_hyper(mapped_hyper(spark, d), *a)
-    _due = " and ".join(f"{c} = '{v}'" for c, v in zip(("subject", "predicate", "object"), _args, strict=True) if v)
+    _terms = [f"{c} = '{v}'" for c, v in zip(("subject", "predicate"), _args[:2], strict=True) if v]
+    _terms += [f"hid in (select hid from ({_HYPER}) where object = '{_args[2]}')"] if _args[2] else []
+    _due = " and ".join(_terms)
     ORACLES[_name] = f"select * from ({_HYPER}) where {_due}"
 
 _RENAMED = "select hid as h, subject as x, predicate as y, object as z, stime as k, etime as m"

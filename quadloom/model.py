@@ -42,7 +42,8 @@ def assembled(facts: DataFrame) -> DataFrame:
 def hyper_rows(hyper: DataFrame, s: str = "", p: str = "", o: str = "") -> DataFrame:
     """(hid, subject, predicate, object, stime, etime): a row per object; hyperedges without objects have none.
 
-    Subject and predicate are matched before the objects are expanded, and an object by a look into the array first.
+    An object selects the hyperedges that hold it, with all of their objects. All parts are matched before the objects
+    are expanded.
     """
     rows = hyper
     if s:
@@ -51,8 +52,7 @@ def hyper_rows(hyper: DataFrame, s: str = "", p: str = "", o: str = "") -> DataF
         rows = rows.where(F.col("predicate") == p)
     if o:
         rows = rows.where(F.array_contains("objects", o))
-    rows = rows.select("hid", "subject", "predicate", F.explode(F.array_distinct("objects")).alias("object"), "stime", "etime")
-    return rows.where(F.col("object") == o) if o else rows
+    return rows.select("hid", "subject", "predicate", F.explode(F.array_distinct("objects")).alias("object"), "stime", "etime")
 
 
 def grouped(rows: DataFrame) -> DataFrame:
