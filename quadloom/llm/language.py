@@ -255,8 +255,8 @@ def fit(texts: list[str], codes: list[str]) -> np.ndarray:
     for code, words in SEED_WORDS.items():
         bucket, _ = grams(words.split())
         seed[:, place[code]] += 3.0 * np.bincount(bucket, minlength=BUCKETS)
-    page = read_page(texts)
-    if not len(page.word_start):
+    page = read_page(texts) if texts else None
+    if page is None or not len(page.word_start):
         return _table(seed)
     word, distinct = pd.factorize(span_hashes(page.cp, page.word_start, page.word_end))
     first = np.empty(len(distinct), dtype=np.int64)
