@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadloom.llm.tokenizer import _BLANK, _DIGIT, _LETTER, char_classes, span_hashes
-from quadloom.session import broadcast_if_small, cut_lineage
+from quadloom.session import broadcast_if_small, cut_lineage, spread
 
 LANGS = ("en", "de", "fr", "es", "it", "pt", "nl", "ru", "zh", "ja")
 _K = len(LANGS)
@@ -400,7 +400,7 @@ def text_evidence(documents: DataFrame, table: np.ndarray) -> DataFrame:
     ).where(F.col("text").rlike(r"[^\s 　]"))
     key = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {key}, label string, host string, prefix string, source string, evidence array<float>, segments array<struct<para_no:int,lang:string,confidence:float>>"
-    return rows.mapInArrow(read, schema)
+    return spread(rows).mapInArrow(read, schema)
 
 
 def _by_language(rows: DataFrame, key: str, out: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from quadloom.session import cut_lineage
 
 #: Steps of length that a capacity is divided into, at most.
-BINS = 256
+BINS = 384
 #: Times that the first length of a pattern may repeat.
 MOST_EQUAL = 12
 #: Items counted by one task, on average.
@@ -67,6 +67,16 @@ def patterns(histogram: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, 4), dtype=np.int64)
 
 
+def solved(dense: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The least-squares solution by the normal equations; by singular values where those are not to be trusted."""
+    try:
+        z = np.linalg.solve(dense.T @ dense, dense.T @ h)
+        right = np.abs(dense.T @ (h - dense @ z)).max() <= 1e-8 * max(1.0, np.abs(h).max())
+    except np.linalg.LinAlgError:
+        right = False
+    return z if right else np.linalg.lstsq(dense, h, rcond=None)[0]
+
+
 def least_squares(cols: np.ndarray, histogram: np.ndarray) -> np.ndarray:
     """x >= 0 minimising |A x - histogram|, by the active-set method; A has the patterns `cols` as its columns."""
     h = histogram.astype(float)
@@ -100,7 +110,7 @@ def least_squares(cols: np.ndarray, histogram: np.ndarray) -> np.ndarray:
         active.append(j)
         dense = np.column_stack([dense, column(j)])
         while True:
-            z, *_ = np.linalg.lstsq(dense, h, rcond=None)
+            z = solved(dense, h)
             if (z > 0).all():
                 x[active] = z
                 break

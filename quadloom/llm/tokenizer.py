@@ -23,6 +23,8 @@ import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
+from quadloom.session import spread
+
 #: Folder of the public vocabularies; set QUADLOOM_TOKENIZERS or pass a path.
 TOKENIZERS = os.environ.get("QUADLOOM_TOKENIZERS", "/opt/tokenizers")
 #: Pattern of the pieces of byte_bpe_50k (fixed value of that vocabulary).
@@ -382,7 +384,7 @@ def token_ids(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), lists], names=[key, "ids"])
 
-    rows = df.select(key, text)
+    rows = spread(df.select(key, text))
     return rows.mapInArrow(encode, f"`{key}` {rows.dtypes[0][1]}, ids array<int>")
 
 
@@ -398,7 +400,7 @@ def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", vocabul
             n = np.concatenate(counts) if counts else np.zeros(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n)], names=[key, "n_tokens"])
 
-    rows = df.select(key, text)
+    rows = spread(df.select(key, text))
     return rows.mapInArrow(count, f"`{key}` {rows.dtypes[0][1]}, n_tokens bigint")
 
 
