@@ -48,3 +48,12 @@ def shuffle_width(spark: SparkSession) -> int:
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast if a bounded count proves that `df` has at most `limit` rows; otherwise leave the join to AQE."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df`, dealt out to all cores if it comes in fewer than half as many pieces, as from one small file.
+
+    For heavy work by row only: input of many files or row groups is read as it lies, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 < cores else df
