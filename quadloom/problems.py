@@ -100,4 +100,71 @@ ORACLES: dict[str, str] = {
         from c join l on c.pid is not distinct from l.pid and c.s is not distinct from l.s
         where last_op = 'I' and (mt, log_count, page_no) >= k and op <> 'D'
         group by c.pid, c.s""",
+    "p3_found": r"""
+        with l as (
+          select line_id, trim(line_text, e' \t') as x from raw_lines where line_text is not null),
+        m as (
+          select line_id, x, regexp_replace(x, '<[^<>]*>|"(?:[^"\\]|\\.)*"(?:@[A-Za-z]+(?:-[A-Za-z0-9]+)*|\^\^<[^<>]*>)?', chr(1), 'g') as rest,
+                 regexp_extract_all(x, '<[^<>]*>|"(?:[^"\\]|\\.)*"(?:@[A-Za-z]+(?:-[A-Za-z0-9]+)*|\^\^<[^<>]*>)?') as terms,
+                 length(regexp_replace(regexp_replace(x, '\\.', '', 'g'), '[^"]', '', 'g')) % 2 = 1 as odd
+          from l where x <> '' and x not like '#%'),
+        t as (
+          select line_id, case
+              when odd or regexp_matches(regexp_replace(rest, '[\x01 \t.]', '', 'g'), '[<>"{}\\]') then 'quoting'
+              when not regexp_full_match(rest, '[ \t]*(?:\x01[ \t]*){3,4}\.?[ \t]*') then 'columns'
+              when terms[1] like '"%' or terms[2] like '"%' or len(list_filter(terms, lambda y: regexp_full_match(y, '<[ \t]*>'))) > 0 then 'value'
+              when len(terms) = 4 and not (terms[4] in ('<no>', '<null>') or (regexp_full_match(terms[4], '<[0-9]{4}-[0-9]{2}-[0-9]{2}>')
+                   and try_cast(trim(terms[4], '<>') as date) is not null)) then 'value'
+              when terms[3] like '%"^^<%' and not coalesce(case regexp_extract(terms[3], '\^\^<([^<>]*)>$', 1)
+                  when 'xsd:integer' then regexp_full_match(v, '[+-]?[0-9]+')
+                  when 'xsd:decimal' then regexp_full_match(v, '[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)')
+                  when 'xsd:date' then regexp_full_match(v, '[0-9]{4}-[0-9]{2}-[0-9]{2}') and try_cast(v as date) is not null
+                  when 'xsd:boolean' then v in ('true', 'false', '1', '0') else false end, false) then 'value' end as reason
+          from (select *, regexp_extract(terms[3], '^"(.*)"\^\^', 1) as v from m where x not like '{%')),
+        h as (
+          select line_id, x, string_split(regexp_extract(x, '^\{([^{}]*),[ \t]*\{', 1), ',') as f, regexp_extract(x, '\{[ \t]*([^{}]*)\}[ \t]*\}', 1) as objects
+          from m where x like '{%'),
+        g as (
+          select line_id, case
+              when length(regexp_replace(x, '[^{]', '', 'g')) <> length(regexp_replace(x, '[^}]', '', 'g')) then 'quoting'
+              when not regexp_full_match(x, '\{[^{}]*,[ \t]*\{[ \t]*[^{} \t][^{}]*\}[ \t]*\}[ \t]*\.?') or len(f) <> 4 then 'columns'
+              when trim(f[1], e' \t') = '' or trim(f[2], e' \t') = '' or len(list_filter(string_split(objects, ','), lambda y: trim(y, e' \t') = '')) > 0
+                   or len(list_filter([trim(f[3], e' \t'), trim(f[4], e' \t')], lambda y: not (y in ('no', 'null')
+                        or (regexp_full_match(y, '[0-9]{4}-[0-9]{2}-[0-9]{2}') and try_cast(y as date) is not null)))) > 0 then 'value' end as reason
+          from h)
+        select line_id, reason from t where reason is not null union all select line_id, reason from g where reason is not null""",
 }
+
+#: Facts of single-valued attributes with the plain text of their value; digits are those of ASCII and full width.
+_PLAIN = r"""
+        with f as (
+          select fact_id, s, a.pred_name as p, a.value_type as k, trim(o, e' \t\r\n　') as x,
+                 translate(trim(o, e' \t\r\n　'), '０１２３４５６７８９', '0123456789') as y
+          from facts join predicate_map a on lower(trim(facts.p, e' \t\r\n')) = a.pred_name
+          where a.multi = false and s like 'company/%'),
+        n as (
+          select *, case when k in ('integer', 'decimal') and regexp_full_match(y,
+                '[+-]?(?:(?:[0-9]{1,3}(?:(?:,[0-9]{3})+|(?: [0-9]{3})+|(?:''[0-9]{3})+|(?:_[0-9]{3})+)|[0-9]+)(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]{1,3})?')
+              then try_cast(regexp_replace(y, '[, ''_]', '', 'g') as decimal(38, 10)) end as num,
+              case when k = 'date' then case
+                when regexp_full_match(y, '[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}') then try_strptime(y, '%Y-%m-%d')
+                when regexp_full_match(y, '[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}') then try_strptime(y, '%Y/%m/%d')
+                when regexp_full_match(y, '[0-9]{4}\.[0-9]{1,2}\.[0-9]{1,2}') then try_strptime(y, '%Y.%m.%d')
+                when regexp_full_match(y, '[0-9]{4}年[0-9]{1,2}月[0-9]{1,2}日') then try_strptime(y, '%Y年%m月%d日')
+                when regexp_full_match(y, '[0-9]{8}') then try_strptime(y, '%Y%m%d')
+                when regexp_full_match(y, '[0-9]{1,2} [A-Za-z]{3} [0-9]{4}') then try_strptime(y, '%d %b %Y') end end as d
+          from f),
+        v as (
+          select fact_id, s, p, case k
+              when 'string' then nullif(x, '')
+              when 'integer' then case when num = floor(num) then cast(cast(num as decimal(38, 0)) as varchar) end
+              when 'decimal' then cast(cast(num as decimal(38, 2)) as varchar)
+              when 'date' then strftime(d, '%Y-%m-%d')
+              when 'boolean' then case when lower(x) in ('true', 't', 'yes', 'y', '1', '是') then 'true' when lower(x) in ('false', 'f', 'no', 'n', '0', '否') then 'false' end end as v
+          from n)"""
+ORACLES["p6_found"] = _PLAIN + "select s, p, arg_max(v, fact_id) as v from v where v is not null group by s, p"
+_ATTRIBUTES = (
+    "std_name", "ent_kind", "reg_no", "reg_capital", "paid_capital", "staff_count", "branch_count", "founded_on", "approved_on", "term_start", "term_end",
+    "is_listed", "is_exporter", "reg_status", "audit_grade", "permit_count",
+)
+ORACLES["p6_wide"] = _PLAIN + "select s, " + ", ".join(f"arg_max(v, fact_id) filter (p = '{a}' and v is not null) as {a}" for a in _ATTRIBUTES) + " from v group by s"
