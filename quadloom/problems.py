@@ -66,7 +66,7 @@ _DAY = "'[0-9]{4}-[0-9]{2}-[0-9]{2}'"
 ORACLES: dict[str, str] = {
     "p1_found": f"""
         with r as (
-          select hid, cast(try_strptime(stime, '%Y-%m-%d') as date) a,
+          select distinct hid, cast(try_strptime(stime, '%Y-%m-%d') as date) a,
                  case when etime = 'null' then date '9999-12-31' + 1000 else cast(try_strptime(etime, '%Y-%m-%d') as date) end b
           from app
           where regexp_full_match(stime, {_DAY}) and (etime = 'null' or regexp_full_match(etime, {_DAY}))),
