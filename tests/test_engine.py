@@ -210,3 +210,19 @@ def test_text_loading_and_stream(spark, tmp_path):
         assert q.exception() is None and db.facts().count() == n
         (stream / f"c{n}.txt").write_text("<z> <p> <w> .\n")
     assert rows(text.read_key_values(spark.createDataFrame([("a=p=1",), ("a=p=2=3",), ("bad",)], "value string"))) == [("a", "p", ["1", "2=3"])]
+
+
+def test_command_line(spark, tmp_path):
+    from quadloom import cli
+
+    (tmp_path / "in.txt").write_text("<a> <p> <b> .\n{P,S,2001-01-01,null,{o}}.\n")
+    (tmp_path / "q").write_text("select ?x where {\n <a>\n <p> ?x . }")
+    db = str(tmp_path / "db")
+    assert cli.run(spark, ["build", db, str(tmp_path / "in.txt")]) == "version 1"
+    assert rows(cli.run(spark, ["query", db, str(tmp_path / "q"), "--file"])) == [("b",)]
+    assert cli.run(spark, ["insert", db, str(tmp_path / "in.txt")]).endswith("facts added")
+    assert rows(cli.run(spark, ["search", db, "a", "p", ""])) == [("a", "p", "b", "no")]
+    assert rows(cli.run(spark, ["hyper", db, "S", "", ""]).select("object").distinct()) == [("o",)]
+    assert cli.run(spark, ["query", db, "delete data { <a> <p> <b> }"]) == "version 2"
+    assert rows(cli.run(spark, ["predicates", db]).select("p")) == [("rdfet",), ("rdfo",), ("rdfp",), ("rdfs",), ("rdfst",)]
+    assert "exported" in cli.run(spark, ["export", db, str(tmp_path / "out")])
