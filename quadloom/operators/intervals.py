@@ -12,6 +12,9 @@ drop blocks that an ancestor covers, merge sibling pairs level by level, coalesc
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +22,8 @@ from pyspark.sql import functions as F
 BITS = 22
 #: Blocks below this level are reduced inside tiles of 2**TILE_BITS points.
 TILE_BITS = 11
+#: Levels of the block tree that one aggregation merges.
+LEVELS_AT_ONCE = 3
 #: The last point of the domain, standing for an open end.
 OPEN = (1 << BITS) - 1
 
@@ -55,20 +60,51 @@ def _uncovered(df: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def _canonical(levels: int) -> str:
+    """For every set of the 2**levels leaves of a subtree, as a bit mask, its blocks (first leaf, leaves) once all pairs
+    of siblings are merged, as JSON.
+    """
+    leaves = 1 << levels
+    out = []
+    for mask in range(1 << leaves):
+        there = [(i, 1) for i in range(leaves) if mask >> i & 1]
+        for size in (1 << k for k in range(levels)):
+            pairs = {i for i, n in there if n == size and i % (2 * size) == 0 and (i + size, size) in there}
+            there = [(i, 2 * size) if i in pairs else (i, n) for i, n in there if not (n == size and i - size in pairs)]
+        out.append([{"o": i, "n": n} for i, n in there])
+    return json.dumps(out, separators=(",", ":"))
+
+
+def _span_below(level: int, top: int) -> Callable[[Column], Column]:
+    base, size = F.expr(f"shiftleft(_at, {top})"), 1 << level
+    return lambda x: F.struct((base + x["o"] * size).alias("o"), (base + (x["o"] + x["n"]) * size - 1).alias("n"))
+
+
 def _merge_siblings(df: DataFrame, keys: list[str], low: int, high: int) -> DataFrame:
     """Replace pairs of sibling blocks by their parent, from level `low` up to `high`; other rows pass unchanged.
 
-    Grouping by a superset of the keys that the rows are already partitioned by needs no exchange. No block may be
-    covered by another (see _uncovered).
+    LEVELS_AT_ONCE levels are merged in one aggregation: the blocks below one ancestor are marked as bits of its leaves,
+    and the merged blocks of the marked set are looked up. Grouping by a superset of the keys that the rows are already
+    partitioned by needs no exchange. No block may be covered by another (see _uncovered).
     """
     out = df
-    for level in range(low, high):
-        here = (F.col("last") - F.col("first") == (1 << level) - 1) & (F.col("first") % (1 << level) == 0)
-        out = (
-            out.groupBy(*keys, F.when(here, F.expr(f"shiftright(first, {level + 1})")).otherwise(-1 - F.col("first")).alias("_at"))
-            .agg(F.min("first").alias("first"), F.max("last").alias("last"))
-            .drop("_at")
+    for level in range(low, high, LEVELS_AT_ONCE):
+        levels = min(LEVELS_AT_ONCE, high - level)
+        top = level + levels
+        size = F.col("last") - F.col("first") + 1
+        block = (size >= 1 << level) & (size < 1 << top) & (size.bitwiseAND(size - 1) == 0) & (F.col("first") % size == 0)
+        place = F.expr(f"cast(shiftright(first, {level}) & {(1 << levels) - 1} as int)")
+        bits = F.expr(f"cast(shiftleft(1L, cast(shiftright(last - first + 1, {level}) as int)) - 1 as int)")
+        mask = F.when(block, F.call_function("shiftleft", bits, place)).otherwise(0)
+        table = F.from_json(F.lit(_canonical(levels)), "array<array<struct<o:bigint,n:bigint>>>")
+        grouped = out.groupBy(*keys, F.when(block, F.expr(f"shiftright(first, {top})")).otherwise(-1 - F.col("first")).alias("_at")).agg(
+            F.bit_or(mask).alias("_mask"), F.min("first").alias("first"), F.max("last").alias("last")
         )
+        whole = F.array(F.struct(F.col("first").alias("o"), F.col("last").alias("n")))
+        spans = F.transform(F.element_at(table, F.col("_mask") + 1), _span_below(level, top))
+        # A full set is its ancestor and a single block itself; only the rest is looked up.
+        simple = (F.col("_at") < 0) | (F.col("_mask") == (1 << (1 << levels)) - 1) | (F.bit_count("_mask") == 1)
+        out = grouped.select(*keys, F.explode(F.when(simple, whole).otherwise(spans)).alias("_x")).select(*keys, F.col("_x.o").alias("first"), F.col("_x.n").alias("last"))
     return out
 
 
