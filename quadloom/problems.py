@@ -168,3 +168,43 @@ _ATTRIBUTES = (
     "is_listed", "is_exporter", "reg_status", "audit_grade", "permit_count",
 )
 ORACLES["p6_wide"] = _PLAIN + "select s, " + ", ".join(f"arg_max(v, fact_id) filter (p = '{a}' and v is not null) as {a}" for a in _ATTRIBUTES) + " from v group by s"
+
+# The layouts that the table holds. Where the clock shows a time twice, the engine's zone function takes the second
+# reading; if an hour earlier shows the same time, that is the first.
+ORACLES["p4_found"] = r"""
+        with f as (
+          select fact_id, trim(t) as t, coalesce(zone_id, 'UTC') as z, coalesce(day_first, true) as day_first
+          from facts left join feeds on facts.src = feeds.src
+          where t is not null and trim(t) not in ('no', 'null', '') and not regexp_full_match(trim(t), '[0-9]{4}-[0-9]{2}-[0-9]{2}')),
+        w as (
+          select fact_id, z, case
+              when regexp_full_match(t, '[0-9]{1,11}') then make_timestamp(cast(t as bigint) * 1000000)
+              when regexp_full_match(t, '[0-9]{12,14}') then make_timestamp(cast(t as bigint) * 1000)
+              when regexp_matches(t, '^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ]')
+                then try_cast(left(t, 10) || ' ' || regexp_extract(t, '^.{11}([0-9]{2}:[0-9]{2}(?::[0-9]{2})?)', 1) || case when t like '____-__-_____:__:%' then '' else ':00' end as timestamp)
+              when regexp_matches(t, '^[0-9]{8}T') then try_strptime(left(t, 15), '%Y%m%dT%H%M%S')
+              when regexp_matches(t, '^[0-9]{2}\.') then try_strptime(t, '%d.%m.%Y %H:%M:%S')
+              when regexp_matches(t, '^[0-9]{2}/.*M$') then case when day_first then try_strptime(t, '%d/%m/%Y %I:%M %p') else try_strptime(t, '%m/%d/%Y %I:%M %p') end
+              when regexp_matches(t, '^[0-9]{2}/') then case when day_first then try_strptime(t, '%d/%m/%Y %H:%M') else try_strptime(t, '%m/%d/%Y %H:%M') end
+              when regexp_matches(t, '^[0-9]{1,2} [A-Za-z]{3} ') then try_strptime(t, '%d %b %Y, %I:%M:%S %p')
+              when regexp_matches(t, '^[A-Za-z]{3}, ') then try_strptime(regexp_extract(t, '^.{5}(.*:[0-9]{2}) ', 1), '%d %b %Y %H:%M:%S')
+              when t like '%年%' then try_strptime(regexp_replace(t, '[年月日时分秒 ]+', ' ', 'g'), '%Y %m %d %H %M %S ') end as wall,
+            case when regexp_full_match(t, '[0-9]{12,14}') then right(t, 3) when t like '%.%' and t like '%-%' then regexp_extract(t, '\.([0-9]+)', 1) else '' end as frac,
+            case when regexp_full_match(t, '[0-9]+') then 'Z'
+              when regexp_matches(t, '^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ]') then regexp_extract(t, '^.{11}[0-9:.]+(.*)$', 1)
+              when regexp_matches(t, '^[0-9]{8}T') then substr(t, 16)
+              when regexp_matches(t, '^[A-Za-z]{3}, ') then regexp_extract(t, ':[0-9]{2}( .*)$', 1)
+              else '' end as tail
+          from f),
+        x as (
+          select *, case when tail in ('Z', ' GMT', ' UTC') then 0 when tail = ' EDT' then -240 when tail = ' EST' then -300 when tail = ' CET' then 60 when tail = ' CEST' then 120
+              when regexp_matches(tail, '[+-][0-9]') then (case when regexp_extract(tail, '([+-])[0-9]', 1) = '-' then -1 else 1 end)
+                * (coalesce(try_cast(regexp_extract(tail, '[+-]([0-9]{1,2})', 1) as int), 0) * 60 + coalesce(try_cast(regexp_extract(tail, '[+-][0-9]{1,2}:?([0-9]{2})$', 1) as int), 0)) end as off,
+            coalesce(nullif(regexp_extract(tail, '\[(.*)\]', 1), ''), z) as zone
+          from (select *, regexp_extract(tail, '([^ ].*)', 1) as bare from w) where wall is not null),
+        u as (
+          select fact_id, frac, case when off is not null then wall - to_minutes(off)
+              when timezone(zone, timezone(zone, wall) - interval 1 hour) = wall then timezone('UTC', timezone(zone, wall) - interval 1 hour)
+              else timezone('UTC', timezone(zone, wall)) end as moment
+          from x)
+        select fact_id, strftime(moment, '%Y-%m-%dT%H:%M:%S') || '.' || left(frac || '000000', 6) || 'Z' as t_utc from u"""
