@@ -52,6 +52,30 @@ _NATION_FACTS = f"""
     union all select {N}, 'located_in', 'region/' || n_regionkey from nation"""
 _NATION = ("n_name", "n_region")
 
+#: Every mapped fact with its time, over all tables.
+_MAPPED = f"""(
+    select 'region/' || r_regionkey as s, 'r_name' as p, r_name as o, 'no' as t from region
+    union all select s, p, o, 'no' from ({_NATION_FACTS})
+    union all select {C}, 'c_name', c_name, 'no' from customer
+    union all select {C}, 'c_mktsegment', c_mktsegment, 'no' from customer
+    union all select {C}, unnest(['c_nation', 'located_in']), 'nation/' || c_nationkey, 'no' from customer
+    union all select 'supplier/' || s_suppkey, 's_name', s_name, 'no' from supplier
+    union all select 'supplier/' || s_suppkey, unnest(['s_nation', 'located_in']), 'nation/' || s_nationkey, 'no' from supplier
+    union all select 'part/' || p_partkey, 'p_name', p_name, 'no' from part
+    union all select 'part/' || p_partkey, 'p_brand', p_brand, 'no' from part
+    union all select 'part/' || p_partkey, 'p_type', p_type, 'no' from part
+    union all select 'part/' || p_partkey, 'p_size', p_size::varchar, 'no' from part
+    union all select 'order/' || o_orderkey, 'o_status', o_orderstatus, 'no' from orders
+    union all select 'order/' || o_orderkey, 'o_priority', o_orderpriority, 'no' from orders
+    union all select 'order/' || o_orderkey, 'o_customer', 'customer/' || o_custkey, strftime(o_orderdate, '%Y-%m-%d') from orders
+    union all select 'order/' || l_orderkey, 'contains', 'part/' || l_partkey, strftime(l_shipdate, '%Y-%m-%d') from lineitem
+    union all select 'part/' || l_partkey, 'supplied_by', 'supplier/' || l_suppkey, 'no' from lineitem
+    union all select 'doc/' || doc_id, 'lang', lang, 'no' from documents where trim(lang) <> ''
+    union all select 'doc/' || doc_id, 'source', source, 'no' from documents where source is not null
+    union all select 'user/' || user_id, event_type, 'event/' || event_id, strftime(ts, '%Y-%m-%d') from events
+              where event_type in ('click', 'view', 'purchase', 'signup', 'error'))"""
+_DISTINCT = f"(select distinct s, p, o from {_MAPPED})"
+
 # --- scans ---------------------------------------------------------------------------------------------------------
 _ask("scan_s_by_po", "select ?x where { ?x <c_mktsegment> <BUILDING> }", f"select {C} as x from customer where c_mktsegment = 'BUILDING'", "c_mktsegment")
 _ask("scan_o_by_sp", "select ?o where { <customer/1> <c_nation> ?o }", "select 'nation/' || c_nationkey as o from customer where c_custkey = 1", "c_nation")
@@ -69,6 +93,10 @@ _ask("scan_s_by_o", "select ?s where { ?s ?p <region/1> }", f"select s from ({_N
 _ask("scan_s", "select ?s where { ?s ?p ?o }", f"select s from ({_NATION_FACTS}) where p <> 'located_in'", *_NATION)
 _ask("scan_all", "select ?s ?p ?o where { ?s ?p ?o }", f"select s, p, o from ({_NATION_FACTS}) where p <> 'located_in'", *_NATION)
 _ask("scan_p", "select ?p where { ?s ?p ?o }", f"select p from ({_NATION_FACTS}) where p <> 'located_in'", *_NATION)
+# The same over every predicate of every mapped table.
+_ask("scan_s_whole", "select ?s where { ?s ?p ?o }", f"select s from {_DISTINCT}")
+_ask("scan_all_whole", "select ?s ?p ?o where { ?s ?p ?o }", f"select s, p, o from {_DISTINCT}")
+_ask("scan_p_whole", "select ?p where { ?s ?p ?o }", f"select p from {_DISTINCT}")
 
 
 @_call("scan_exists", "select 'nation/3' as x where exists (select 1 from nation where n_nationkey = 3 and n_regionkey = 3)")
@@ -170,6 +198,11 @@ _ask(
         where n in (select {N} from nation where n_regionkey = 1)""",
     "c_nation", "s_nation", "n_region",
 )
+_ask(
+    "join_variable_predicate_whole",
+    "select ?x ?p ?n where { ?x ?p ?n . ?n <n_region> <region/1> }",
+    f"select s as x, p, o as n from {_DISTINCT} where o in (select {N} from nation where n_regionkey = 1)",
+)
 
 
 def _supplied(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
