@@ -6,6 +6,9 @@ repeat counts by non-negative least squares against the histogram; the counts ar
 packed largest first, in bulk, by the same steps. The plan is a table of a few hundred patterns. Every text then finds
 its place from its rank among the texts of its step; ranks are counted in hashed chunks, so that a step which holds a
 third of all texts is not one task.
+
+Where a step is more than a token, short texts are also packed the same way, by finer steps, into bundles of a twelfth
+of the capacity, which then take part by their true lengths; a kind keeps the bundles if they save containers.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from quadloom.session import cut_lineage
 BINS = 384
 #: Times that the first length of a pattern may repeat.
 MOST_EQUAL = 12
+#: Bundles of short texts that a container holds. A text is short if two fit into a bundle.
+BUNDLES = 12
 #: Items counted by one task, on average.
 CHUNK_ITEMS = 100_000
 
@@ -208,19 +213,15 @@ def items(lengths: DataFrame, containers: DataFrame) -> DataFrame:
     )
 
 
-def pack(lengths: DataFrame, containers: DataFrame) -> DataFrame:
-    """(container_kind, container_id BIGINT, slot INT, doc_id, piece_no INT, first_token, n_tokens BIGINT).
+def stepped(todo: DataFrame) -> DataFrame:
+    return todo.withColumn("step", F.expr("(n_tokens * {b} + capacity - 1) div capacity".format(b=f"least({BINS}L, capacity)")).cast("int"))
 
-    Every item (see items) is in exactly one container of each kind, and no container holds more than its capacity.
-    Texts without tokens have one row for each kind, with null container_id and slot and n_tokens 0. `lengths` is
-    (doc_id, n_tokens), read several times; give it from files or a checkpoint. Rows with the same doc_id are items of
-    their own.
-    """
-    todo = items(lengths, containers)
+
+def plans_of(todo: DataFrame) -> tuple[dict[str, Plan], int]:
+    """A plan for every kind of `todo` (kind, capacity, n_tokens), and the number of its rows."""
     bins = F.least(F.lit(BINS).cast("bigint"), F.col("capacity"))
-    todo = todo.withColumn("step", F.expr("(n_tokens * {b} + capacity - 1) div capacity".format(b=f"least({BINS}L, capacity)")).cast("int"))
     # At most one row per kind and step: bounded by the number of kinds times BINS.
-    counted = todo.groupBy("kind", bins.alias("bins"), "step").agg(F.count(F.lit(1)).alias("n")).collect()
+    counted = stepped(todo).groupBy("kind", bins.alias("bins"), "step").agg(F.count(F.lit(1)).alias("n")).collect()
     plans: dict[str, Plan] = {}
     for kind in {r.kind for r in counted}:
         mine = [r for r in counted if r.kind == kind]
@@ -228,14 +229,20 @@ def pack(lengths: DataFrame, containers: DataFrame) -> DataFrame:
         for r in mine:
             histogram[r.step] = r.n
         plans[kind] = make_plan(histogram)
-    shared = lengths.sparkSession.sparkContext.broadcast({k: p.slots for k, p in plans.items()})
-    chunks = max(1, sum(r.n for r in counted) // CHUNK_ITEMS)
+    return plans, sum(r.n for r in counted)
+
+
+def placed(todo: DataFrame, plans: dict[str, Plan], n: int, ids: list[str]) -> DataFrame:
+    """The `n` rows of `todo` (kind, capacity, n_tokens, `ids`) with `at` (container BIGINT, slot INT), by the plans."""
+    todo = stepped(todo)
+    shared = todo.sparkSession.sparkContext.broadcast({k: p.slots for k, p in plans.items()})
+    chunks = max(1, n // CHUNK_ITEMS)
     group = ["kind", "step", "chunk"]
-    todo = todo.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(chunks)).cast("int"))
+    todo = todo.withColumn("chunk", F.pmod(F.xxhash64(*ids), F.lit(chunks)).cast("int"))
     sizes = todo.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("kind", "step").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
     sizes = sizes.select(*group, F.coalesce(before, F.lit(0)).alias("before"))
-    own = F.row_number().over(Window.partitionBy(*group).orderBy("doc_id", "piece_no", "n_tokens")) - 1
+    own = F.row_number().over(Window.partitionBy(*group).orderBy(*ids, "n_tokens")) - 1
     ranked = todo.withColumn("own", own).join(sizes, group).withColumn("rank", F.col("own") + F.col("before"))
 
     @F.pandas_udf("struct<container:bigint,slot:int>")
@@ -251,14 +258,47 @@ def pack(lengths: DataFrame, containers: DataFrame) -> DataFrame:
                 slot[rows] = base[at] + more % times[at]
             yield pd.DataFrame({"container": container, "slot": slot})
 
-    placed = ranked.withColumn("at", place("kind", "step", "rank")).select(
-        F.col("kind").alias("container_kind"), F.col("at.container").alias("container_id"), F.col("at.slot").alias("slot"),
-        "doc_id", "piece_no", "first_token", "n_tokens",
-    )
+    return ranked.withColumn("at", place("kind", "step", "rank")).drop("step", *group[2:], "own", "before", "rank")
+
+
+def pack(lengths: DataFrame, containers: DataFrame) -> DataFrame:
+    """(container_kind, container_id BIGINT, slot INT, doc_id, piece_no INT, first_token, n_tokens BIGINT).
+
+    Every item (see items) is in exactly one container of each kind, and no container holds more than its capacity.
+    Texts without tokens have one row for each kind, with null container_id and slot and n_tokens 0. `lengths` is
+    (doc_id, n_tokens), read several times; give it from files or a checkpoint. Rows with the same doc_id are items of
+    their own.
+    """
+    todo = items(lengths, containers)
+    plans, n = plans_of(todo)
+    last = ["doc_id", "piece_no", "first_token", "n_tokens"]
+    unit = F.expr(f"capacity div {BUNDLES}")
+    short = (F.col("capacity") > BINS) & (2 * F.col("n_tokens") <= unit)
+    few = todo.where(short).withColumns({"whole": F.col("capacity"), "capacity": unit})
+    inner, n_few = plans_of(few)
+    better: dict[str, Plan] = {}
+    if inner:
+        inside = placed(few, inner, n_few, ["doc_id", "piece_no"]).withColumn("bundle", F.col("at.container"))
+        bundles = inside.groupBy("kind", F.col("whole").alias("capacity"), "bundle").agg(F.sum("n_tokens").alias("n_tokens"))
+        bundles = cut_lineage(bundles)
+        fine, _ = plans_of(todo.where(~short & F.col("kind").isin(*inner)).select("kind", "capacity", "n_tokens").unionByName(bundles.drop("bundle")))
+        better = {k: p for k, p in fine.items() if p.containers < plans[k].containers}
+    if better:
+        short &= F.col("kind").isin(*better)
+        inside, bundles = (x.where(F.col("kind").isin(*better)) for x in (inside, bundles))
+        outer = todo.where(~short).withColumn("bundle", F.lit(None).cast("bigint")).unionByName(bundles, allowMissingColumns=True)
+        outer = placed(outer, plans | better, n, ["doc_id", "piece_no", "bundle"])
+        to = outer.where(F.col("bundle").isNotNull()).select("kind", "bundle", F.col("at").alias("to"))
+        bundled = inside.join(to, ["kind", "bundle"]).select("kind", "to", F.col("at.slot").alias("in"), *last)
+        out = outer.where(F.col("bundle").isNull()).select("kind", F.col("at").alias("to"), F.lit(0).alias("in"), *last).unionByName(bundled)
+        slot = F.row_number().over(Window.partitionBy("kind", "to.container").orderBy("to.slot", "in")) - 1
+    else:
+        out, slot = placed(todo, plans, n, ["doc_id", "piece_no"]).withColumn("to", F.col("at")), F.col("to.slot")
+    packed = out.select(F.col("kind").alias("container_kind"), F.col("to.container").alias("container_id"), slot.alias("slot"), *last)
     kinds = containers.where((F.col("capacity_tokens") > 0) & F.col("container_kind").isNotNull()).select("container_kind").distinct()
     empty = lengths.where(F.coalesce(F.col("n_tokens"), F.lit(0)) <= 0).crossJoin(F.broadcast(kinds))
     zero = F.lit(0).cast("bigint")
-    return placed.unionByName(
+    return packed.unionByName(
         empty.select(
             "container_kind", F.lit(None).cast("bigint").alias("container_id"), F.lit(None).cast("int").alias("slot"),
             "doc_id", F.lit(0).alias("piece_no"), zero.alias("first_token"), zero.alias("n_tokens"),

@@ -94,3 +94,15 @@ def test_plan_uses_every_item_once(seed):
             at = np.searchsorted(start, r, side="right") - 1
             np.add.at(load, first[at] + (r - start[at]) // times[at], step)
     assert load.max() <= 64 and load.min() > 0 and load.sum() == (h * np.arange(65)).sum()
+
+
+def test_short_texts_fill_large_containers(spark):
+    # A step of 1/384 is 21.3 tokens here.
+    for n in (1, 22):
+        lengths = [(i, n) for i in range(3 * 8192 // n)]
+        [(_, used, room)] = check(spark, lengths, [("large", 8192)])
+        assert used / room > 0.7
+    random.seed(4)
+    lengths = [(i, random.randint(1, 60)) for i in range(5000)]
+    [(_, used, room)] = check(spark, lengths, [("large", 8192)])
+    assert used / room > 0.9
