@@ -470,6 +470,28 @@ for _name, _text, _sql in (
     ),
 ):
     _ask(_name, _text, _sql, "r_name")
+# The same over every mapped fact; those of other predicates pass unchanged.
+for _name, _text, _sql in (
+    (
+        "insert_data_whole",
+        "insert data { <region/9> <r_name> 'NOWHERE' . <region/1> <r_name> 'AMERICA' }",
+        f"""select * from {_MAPPED} union all
+            select * from (select 'region/9' as s, 'r_name' as p, 'NOWHERE' as o, 'no' as t union all select 'region/1', 'r_name', 'AMERICA', 'no')
+            where (s, p, o) not in (select s, p, o from {_MAPPED} where p = 'r_name')""",
+    ),
+    (
+        "delete_data_whole",
+        "delete data { <region/1> <r_name> 'AMERICA' . <region/2> <r_name> 'NOWHERE' }",
+        f"select * from {_MAPPED} where not (p = 'r_name' and ((s = 'region/1' and o = 'AMERICA') or (s = 'region/2' and o = 'NOWHERE')))",
+    ),
+    ("delete_where_whole", "delete { ?x <r_name> 'ASIA' }", f"select * from {_MAPPED} where not (p = 'r_name' and o = 'ASIA')"),
+    (
+        "update_pattern_whole",
+        "delete { ?x <r_name> 'ASIA' } insert { ?x <r_name> 'ORIENT' }",
+        f"select s, p, case when p = 'r_name' and o = 'ASIA' then 'ORIENT' else o end as o, t from {_MAPPED}",
+    ),
+):
+    _ask(_name, _text, _sql)
 
 
 @_call("export_triples", f"select '<' || s || '> <' || p || '> <' || o || '> <' || t || '>.' as line from (select distinct s, p, o, t from {_FACTS}) where p not in ('rdfp', 'rdfs', 'rdfst', 'rdfet', 'rdfo')")
@@ -489,6 +511,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return facts_of(export_lines(mapped_facts(spark, d, "p_name"), reserved=False), "line")
 
 
+@_call("text_roundtrip_whole", f"select * from {_MAPPED} where o <> ''")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return facts_of(export_lines(mapped_facts(spark, d), reserved=False), "line")
+
+
 @_call("hyper_roundtrip", f"select subject, predicate, stime, etime, count(*)::bigint as n_objects, string_agg(object, ',' order by object) as objects from ({_HYPER}) group by hid, subject, predicate, stime, etime")
 def _(spark: SparkSession, d: str) -> DataFrame:
     lines = mapped_hyper(spark, d).select(hyper_line().alias("line"))
