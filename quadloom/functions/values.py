@@ -48,7 +48,7 @@ def with_plain_text(df: DataFrame, raw: str, value_type: str, out: str) -> DataF
     false; string: without outer blanks. Null if unreadable, which an empty text and any other type always is.
 
     Numbers: an optional sign, digits of any script, one kind of grouping mark in groups of three, a fraction, an
-    exponent; at most 28 digits before the point. Dates put the year first or name the month, and must exist.
+    exponent; at most 38 digits of an integer, and 36 before the point of a decimal. Dates put the year first or name the month, and must exist.
     The steps are columns of their own, each used more than once, so that no step is computed twice.
     """
     v = F.col(value_type)
@@ -59,17 +59,22 @@ def with_plain_text(df: DataFrame, raw: str, value_type: str, out: str) -> DataF
     shaped = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, _YMD, "$1|$3$5$7|$4$6$8"), _DMY, "$3|$2|$1"), _MDY, "$3|$1|$2")
     df = df.withColumns(
         {
-            "_num": F.when(v != "date", number.try_cast("decimal(38,10)")),
+            "_num": F.when(v != "date", number),
             "_ymd": F.when(v == "date", F.split(shaped, r"\|")),
         }
     )
     n, ymd = F.col("_num"), F.col("_ymd")
     month = F.coalesce(F.create_map(*[F.lit(x) for pair in _MONTH_WORDS.items() for x in pair])[F.lower(ymd[1])], F.lpad(ymd[1], 2, "0"))
     df = df.withColumn("_day", F.when((F.size(ymd) == 3) & (ymd[0] != "0000"), F.try_to_date(F.concat_ws("-", ymd[0], month, F.lpad(ymd[2], 2, "0")), "yyyy-MM-dd")))
+    # An integer has no digit but zero behind the point, once the exponent has moved it.
+    whole = F.regexp_extract(n, "^[+-]?([0-9]*)", 1)
+    digits = F.regexp_replace(F.concat(whole, F.regexp_extract(n, r"\.([0-9]*)", 1)), "0+$", "")
+    power = F.coalesce(F.regexp_extract(n, "[eE]([+-]?[0-9]+)$", 1).try_cast("int"), F.lit(0))
+    even = (digits == "") | (F.length(digits) <= F.length(whole) + power)
     word = F.lower(F.col("_strip"))
     value = (
         F.when(v == "string", F.when(F.col("_strip") != "", F.col("_strip")))
-        .when(v == "integer", F.when(n == F.floor(n), n.try_cast("decimal(38,0)").cast("string")))
+        .when(v == "integer", F.when(even, n.try_cast("decimal(38,0)").cast("string")))
         .when(v == "decimal", n.try_cast("decimal(38,2)").cast("string"))
         .when(v == "date", F.date_format(F.col("_day"), "yyyy-MM-dd"))
         .when(v == "boolean", F.when(word.isin(*TRUE_WORDS), "true").when(word.isin(*FALSE_WORDS), "false"))

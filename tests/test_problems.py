@@ -191,6 +191,17 @@ def test_plain_text(spark):
         assert r.got == r.want, r
 
 
+def test_long_numbers(spark):
+    cases = {
+        "integer": {"9" * 38: "9" * 38, "-1" + "0" * 29: "-1" + "0" * 29, "9" * 39: None, "5.00000000001": None, "5.0000000000000": "5", "1.5e1": "15", "15e-1": None, "150e-1": "15",
+                    "0e-9": "0", "1e37": "1" + "0" * 37, ".5e1": "5", "1" + "0" * 12 + "e-12": "1"},
+        "decimal": {"9" * 36: "9" * 36 + ".00", "9" * 37: None, "0.00499999999999": "0.00", "0.005": "0.01"},
+    }
+    data = [(k, o, want) for k, d in cases.items() for o, want in d.items()]
+    for r in with_plain_text(spark.createDataFrame(data, "k string, o string, want string"), "o", "k", "got").collect():
+        assert r.got == r.want, r
+
+
 LINES = {
     "<a> <b> <c> <2020-01-01> .": None,
     "  <a>\t<b>  \"x \\\" y\"@zh-Hans <no>": None,
