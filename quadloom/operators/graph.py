@@ -11,12 +11,13 @@ from quadloom.plans.query import Const, Pattern, Var
 from quadloom.session import cut_lineage
 
 
-def scan(facts: DataFrame, pattern: Pattern) -> DataFrame:
+def scan(facts: DataFrame, pattern: Pattern, repeats: bool = True) -> DataFrame:
     """The bindings of one pattern over the distinct (s, p, o) of `facts`, columns named after its variables.
 
     Constants become filters that reach the Parquet scan, and p prunes partitions. A variable that occurs twice must
     bind equal terms. Time is not part of the match. A pattern without variables has one row without columns if the
-    fact exists.
+    fact exists. Where each (s, p, o) is known to occur once (`repeats` false), the bindings need no shuffle, as the
+    variables and constants of a pattern name the fact.
     """
     rows = facts
     places: dict[str, list[str]] = {}
@@ -30,7 +31,8 @@ def scan(facts: DataFrame, pattern: Pattern) -> DataFrame:
             rows = rows.where(F.col(columns[0]) == F.col(other))
     if not places:
         return rows.select(F.lit(1).alias("_there")).limit(1).select()
-    return rows.select(*[F.col(columns[0]).alias(name) for name, columns in places.items()]).distinct()
+    found = rows.select(*[F.col(columns[0]).alias(name) for name, columns in places.items()])
+    return found.distinct() if repeats else found
 
 
 def semi_reduce(left: DataFrame, right: DataFrame, on: list[str], hint: str = "", both: bool = False) -> DataFrame | tuple[DataFrame, DataFrame]:
@@ -59,22 +61,36 @@ def merged(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
+def within_range(rows: DataFrame, column: str, binding: DataFrame) -> DataFrame:
+    """Rows whose `column` lies between its least and greatest value in `binding`: a range that reaches the scan of `rows`
+    and skips the files and row groups outside it. No row with a partner in `binding` is lost. Two values come to the driver.
+    """
+    low, high = binding.agg(F.min(column), F.max(column)).first()
+    return rows.where(F.lit(False)) if low is None else rows.where(F.col(column).between(low, high))
+
+
 def reaches(facts: DataFrame, target: str, via: str) -> DataFrame:
     """(node): every term with a path of `via` facts to `target`, and `target` itself. Cycles are allowed.
 
     A breadth-first loop against the direction of the edges. Each round joins the newest nodes with the edges and drops
     those seen before; its result is cut from its lineage in the shared checkpoint folder, so plans stay small and a
-    lost executor costs no earlier round. Only the number of new nodes comes to the driver.
+    lost executor costs no earlier round. Nodes seen are kept in parts of doubling numbers of rounds, so that over a
+    path of n steps each node is written some log n times. Only whether there were new nodes comes to the driver.
     """
     edges = cut_lineage(facts.where(F.col("p") == via).select(F.col("s").alias("node"), F.col("o").alias("next")).distinct())
-    seen = facts.sparkSession.createDataFrame([(target,)], "node string")
-    frontier = seen
+    frontier = facts.sparkSession.createDataFrame([(target,)], "node string")
+    seen: list[tuple[int, DataFrame]] = [(1, frontier)]  # rounds, nodes
     while True:
         found = edges.join(frontier.withColumnRenamed("node", "next"), "next").select("node").distinct()
-        frontier = cut_lineage(found.join(seen, "node", "left_anti"))
+        for _, nodes in seen:
+            found = found.join(nodes, "node", "left_anti")
+        frontier = cut_lineage(found)
         if frontier.isEmpty():
-            return seen
-        seen = cut_lineage(seen.unionByName(frontier))
+            return reduce(DataFrame.unionByName, [nodes for _, nodes in seen])
+        seen.append((1, frontier))
+        while len(seen) > 1 and seen[-1][0] == seen[-2][0]:
+            (n, a), (m, b) = seen.pop(), seen.pop()
+            seen.append((n + m, cut_lineage(a.unionByName(b))))
 
 
-__all__ = ["Pattern", "Var", "merged", "reaches", "reduce_all", "scan", "semi_reduce"]
+__all__ = ["Pattern", "Var", "merged", "reaches", "reduce_all", "scan", "semi_reduce", "within_range"]

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,14 +21,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints: the one the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is absent (tests on one machine) is a folder of our own made.
+    Only where that setting is absent and everything runs on one machine, as in tests, is a folder of our own made, and
+    removed at exit. On a cluster a missing setting is an error, as no other executor could read a local folder.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    named = sc.getConf().get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), f"quadloom-ckpt-{uuid.uuid4().hex}"))
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="quadloom-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    sc.setCheckpointDir(named)
     return sc._jsc.sc().getCheckpointDir().get()
 
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quadloom.plans.compiler import Size
 from quadloom.session import table
 
 
@@ -18,6 +19,14 @@ def _day(column: str) -> Column:
     return F.date_format(column, "yyyy-MM-dd")
 
 
+#: What the objects of a predicate refer to; those of all others are plain values.
+REFERENCES = {
+    "n_region": "region", "c_nation": "nation", "s_nation": "nation", "o_customer": "customer", "contains": "part", "supplied_by": "supplier", "located_in": "nation",
+    **dict.fromkeys(("click", "view", "purchase", "signup", "error"), "events"),
+}
+#: Predicates of line items, which have no key, so that a fact may occur more than once; the table of their subjects.
+REPEATED = {"contains": "orders", "supplied_by": "part"}
+
 
 def _rows() -> list[tuple[str, str, Column, Column, Column | None, Column | None]]:
     """(table, predicate, s, o, t or none, condition or none)."""
@@ -70,6 +79,31 @@ def mapped_facts(spark: SparkSession, sf_dir: str, *predicates: str) -> DataFram
     return reduce(DataFrame.unionByName, parts)
 
 
+def mapped_sizes(spark: SparkSession, sf_dir: str, predicates: set[str] | None = None, counted: bool = True) -> dict[str | None, Size]:
+    """Sizes of the predicates, or of all facts, by the rows of their tables and the keys that the mapping knows of.
+
+    Rows are counted from the footers of the files. Without `counted`, only whether facts repeat is told.
+    """
+    sources: dict[str, list[str]] = {}
+    for name, predicate, *_ in _rows():
+        if predicates is None or predicate in predicates:
+            sources.setdefault(predicate, []).append(name)
+    count: dict[str, float] = {}
+    if counted:
+        names = {x for v in sources.values() for x in v} | {REFERENCES[p] for p in sources if p in REFERENCES} | {REPEATED[p] for p in sources if p in REPEATED}
+        parts = [table(spark, sf_dir, n).select(F.lit(n).alias("n")) for n in sorted(names)]
+        count = {r.n: float(r["count"]) for r in reduce(DataFrame.unionByName, parts).groupBy("n").count().collect()} if parts else {}
+    out: dict[str | None, Size] = {}
+    for predicate, tables in sources.items():
+        n = max(sum(count.get(t, 1e9) for t in tables), 1.0)
+        subjects = min(n, count.get(REPEATED[predicate], n)) if predicate in REPEATED else n
+        objects = min(n, count.get(REFERENCES[predicate], n)) if predicate in REFERENCES else n**0.5
+        out[predicate] = Size(n, max(subjects, 1.0), max(objects, 1.0), predicate in REPEATED)
+    if predicates is None:
+        out[None] = Size(sum(x.facts for x in out.values()), max(x.subjects for x in out.values()), max(x.objects for x in out.values()))
+    return out
+
+
 def mapped_hyper(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A hyperedge per order with line items: who placed it, from the order to the last shipment, and its parts.
 

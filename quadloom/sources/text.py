@@ -26,13 +26,15 @@ def facts_of(lines: DataFrame, text: str = "value") -> DataFrame:
     return rows.where("s <> '' and p <> '' and o <> ''")
 
 
-def hyper_of(lines: DataFrame, first_hid: int = 1, text: str = "value") -> DataFrame:
+def hyper_of(lines: DataFrame, first_hid: int = 1, text: str = "value", cut_dots: bool = False) -> DataFrame:
     """(hid, subject, predicate, objects, stime, etime) of the lines that begin with {.
 
-    Fields are cut at commas and braces, so terms may hold dots. hids count up from `first_hid` in no given order, with
-    gaps between partitions; lines with fewer than four fields are left out.
+    Fields are cut at commas and braces, so terms may hold dots; with `cut_dots` they are cut at dots too, for files
+    that were written for readers that do so. hids count up from `first_hid` in no given order, with gaps between
+    partitions; lines with fewer than four fields are left out.
     """
-    parts = F.filter(F.transform(F.split(F.regexp_replace(F.col(text), r"[.\s]*$", ""), "[{},]"), lambda x: F.trim(x)), lambda x: x != "")
+    cut = "[{},.\r]" if cut_dots else "[{},]"
+    parts = F.filter(F.transform(F.split(F.regexp_replace(F.col(text), r"[.\s]*$", ""), cut), lambda x: F.trim(x)), lambda x: x != "")
     rows = lines.where(F.ltrim(text).startswith("{")).select(parts.alias("x")).where(F.size("x") >= 4)
     return rows.select(
         F.concat(F.lit("hid"), (F.monotonically_increasing_id() + first_hid).cast("string")).alias("hid"),

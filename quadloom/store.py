@@ -1,24 +1,35 @@
-"""A store of facts and hyperedges in a directory of versions, and the calls on it.
+"""A store of facts and hyperedges in a directory of immutable parts and small version files, and the calls on it.
 
-    <path>/v000001/facts/p=.../*.parquet   sorted by s, o inside each file
-    <path>/v000001/hyper/*.parquet
-    <path>/v000001/stats/*.parquet          facts per predicate
+    <path>/facts/part=<name>/p=.../*.parquet   sorted by p, s, o; a file holds a range of them
+    <path>/hyper/part=<name>/*.parquet
+    <path>/stats/part=<name>/*.parquet         facts and sketches of the terms per predicate
+    <path>/versions/000001.json                which parts make up a version
 
-Files are never changed: an append adds files to the latest version, every other write makes a new version and leaves
-the old one readable. A version counts once its statistics are written, which is the last step.
+Every write puts down a new part and then a version file, by a rename that is the commit: what breaks off before leaves
+the version before as it was. An append adds a part of new facts. An update rewrites the predicates that it removes
+facts of into a part and names them as no longer valid in the older parts. compact() joins parts. Writers must take
+turns; of two that commit the same version the later one is refused.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadloom.model import FACTS, HYPER, assembled, hyper_rows, reified
+from quadloom.model import FACTS, HYPER, RESERVED, assembled, hyper_rows, reified
 from quadloom.plans import compiler
-from quadloom.plans.query import QueryError, parse
+from quadloom.plans.query import Const, Query, QueryError
 from quadloom.session import cut_lineage
 from quadloom.sources.text import export_lines, facts_of, hyper_of, lines_of
 
+#: Facts as they are stored: `first` marks one row of each (s, p, o), so that patterns need no distinct.
+STORED = f"{FACTS}, first boolean"
+#: Predicates that are listed on the driver so that only their files are read or rewritten; beyond, all are.
+LISTED = 10_000
+
 STATS = {"s": ("s",), "o": ("o",), "sp": ("s", "p"), "op": ("o", "p"), "p": ("p",)}
 
 
@@ -28,6 +39,12 @@ def build_rows(facts: DataFrame) -> DataFrame:
     return rows.where("s is not null and p is not null and o is not null and s <> '' and p <> '' and o <> ''").dropDuplicates()
 
 
+def marked(facts: DataFrame) -> DataFrame:
+    """Distinct (s, p, o, t) with `first`, true in the row of least t of each (s, p, o). Both steps combine before they shuffle."""
+    least = facts.groupBy("s", "p", "o").agg(F.min("t").alias("t")).withColumn("first", F.lit(True))
+    return facts.select("s", "p", "o", "t").withColumn("first", F.lit(False)).unionByName(least).groupBy("s", "p", "o", "t").agg(F.max("first").alias("first"))
+
+
 def stats(facts: DataFrame, kind: str) -> DataFrame:
     """(k1, k2, n BIGINT): facts per s, o, (s, p), (o, p) or p; 'total' all of them, 'distinct' the number of terms."""
     none = F.lit(None).cast("string")
@@ -89,93 +106,252 @@ class GraphStore:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
 
+    # --- versions ---
     def _fs(self):
         jvm = self.spark.sparkContext._jvm
         root = jvm.org.apache.hadoop.fs.Path(self.path)
         return root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def versions(self) -> list[int]:
-        """Versions that were written to the end."""
+    def _names(self, folder: str) -> list[str]:
         fs, path = self._fs()
-        if not fs.exists(path(self.path)):
-            return []
-        names = [x.getPath().getName() for x in fs.listStatus(path(self.path))]
-        return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(path(f"{self.path}/{n}/stats/_SUCCESS")))
+        place = path(f"{self.path}/{folder}")
+        return sorted(x.getPath().getName() for x in fs.listStatus(place)) if fs.exists(place) else []
 
-    def _dir(self, version: int | None = None) -> str:
+    def versions(self) -> list[int]:
+        """Versions that were committed."""
+        return [int(n[:-5]) for n in self._names("versions") if n.endswith(".json") and n[:-5].isdigit()]
+
+    def _manifest(self, version: int | None = None) -> dict:
         if version is None:
             known = self.versions()
             if not known:
                 raise FileNotFoundError(f"no store at {self.path}")
             version = known[-1]
-        return f"{self.path}/v{version:06d}"
+        fs, path = self._fs()
+        stream = fs.open(path(f"{self.path}/versions/{version:06d}.json"))
+        try:
+            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _commit(self, manifest: dict) -> int:
+        """Make `manifest` the version after the one it was made from."""
+        version = manifest["version"] + 1
+        fs, path = self._fs()
+        target, draft = path(f"{self.path}/versions/{version:06d}.json"), path(f"{self.path}/drafts/{uuid.uuid4().hex}")
+        fs.mkdirs(target.getParent())
+        out = fs.create(draft, False)
+        out.writeBytes(json.dumps(manifest | {"version": version}))
+        out.close()
+        if fs.exists(target) or not fs.rename(draft, target):
+            fs.delete(draft, False)
+            raise RuntimeError(f"version {version} was committed by another writer")
+        return version
+
+    # --- parts ---
+    def _write_part(self, facts: DataFrame, hyper: DataFrame | None = None) -> str:
+        """Write stored facts (with `first`), hyperedges and statistics as a new part; its name.
+
+        Facts are dealt out by ranges of (p, s, o), so that a predicate with most facts is written by many tasks, one
+        with few shares a task with others, and each file holds a narrow range of subjects.
+        """
+        name = uuid.uuid4().hex
+        to = f"part={name}"
+        order = ["p", "s", "o", "t"]
+        facts.select("s", "o", "t", "first", "p").repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("p").parquet(f"{self.path}/facts/{to}")
+        if hyper is not None:
+            hyper.select("hid", "subject", "predicate", "objects", "stime", "etime").write.parquet(f"{self.path}/hyper/{to}")
+        sketches = [F.hll_sketch_agg(c).alias(n) for c, n in (("s", "subjects"), ("o", "objects"))]
+        stored = self._part("facts", STORED, [name])
+        stored.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.count_if("first").alias("firsts"), *sketches).write.parquet(f"{self.path}/stats/{to}")
+        return name
+
+    def _part(self, what: str, schema: str, names: list[str]) -> DataFrame:
+        """Rows of some parts with the column `part`."""
+        if not names:
+            return self.spark.createDataFrame([], f"{schema}, part string")
+        paths = [f"{self.path}/{what}/part={n}" for n in names]
+        return self.spark.read.schema(f"{schema}, part string").option("basePath", f"{self.path}/{what}").parquet(*paths)
+
+    def _read(self, manifest: dict, what: str, schema: str) -> DataFrame:
+        """Rows of all parts of a version, each without the predicates that a later part holds anew."""
+        rows = self._part(what, schema, [x["name"] for x in manifest["parts"]])
+        for x in manifest["parts"]:
+            if x["without"]:
+                rows = rows.where(~((F.col("part") == x["name"]) & F.col("p").isin(*x["without"])))
+        return rows.drop("part")
+
+    def parts(self) -> int:
+        return len(self._manifest()["parts"])
+
+    def _stored(self, manifest: dict | None = None) -> DataFrame:
+        return self._read(manifest or self._manifest(), "facts", STORED)
 
     def facts(self, version: int | None = None) -> DataFrame:
-        return self.spark.read.schema(FACTS).parquet(f"{self._dir(version)}/facts")
+        return self._stored(self._manifest(version)).drop("first")
 
     def hyper(self, version: int | None = None) -> DataFrame:
-        return self.spark.read.schema(HYPER).parquet(f"{self._dir(version)}/hyper")
-
-    def sizes(self) -> dict[str, compiler.Size]:
-        """Sizes per predicate, from the statistics; at most 100,000 predicates are read."""
-        rows = self.predicates().limit(100_000).collect()
-        return {r.p: compiler.Size(float(r.n), float(max(r.subjects, 1)), float(max(r.objects, 1))) for r in rows}
-
-    def _write(self, target: str, facts: DataFrame, hyper: DataFrame | None, mode: str) -> None:
-        # Rows of one predicate are spread by subject, so that a predicate with most facts is not one task.
-        spread = facts.repartition("p", F.pmod(F.xxhash64("s"), F.lit(32)))
-        spread.sortWithinPartitions("p", "s", "o").write.partitionBy("p").mode(mode).parquet(f"{target}/facts")
-        if hyper is not None:
-            hyper.select("hid", "subject", "predicate", "objects", "stime", "etime").write.mode(mode).parquet(f"{target}/hyper")
-        stored = self.spark.read.schema(FACTS).parquet(f"{target}/facts")
-        terms = [F.approx_count_distinct(c).alias(n) for c, n in (("s", "subjects"), ("o", "objects"))]
-        stored.groupBy("p").agg(F.count(F.lit(1)).alias("n"), *terms).coalesce(1).write.mode("overwrite").parquet(f"{target}/stats")
-
-    def _new_version(self, facts: DataFrame, hyper: DataFrame) -> int:
-        version = (self.versions() or [0])[-1] + 1
-        self._write(f"{self.path}/v{version:06d}", facts, hyper, "overwrite")
-        return version
+        return self._part("hyper", HYPER, self._manifest(version)["hyper"]).drop("part")
+
+    def predicates(self, version: int | None = None) -> DataFrame:
+        """(p, n, firsts, subjects, objects): the predicates, their facts with and without times, and estimates of their distinct terms."""
+        rows = self._read(self._manifest(version), "stats", "p string, n bigint, firsts bigint, subjects binary, objects binary")
+        terms = [F.hll_sketch_estimate(F.hll_union_agg(c)).alias(c) for c in ("subjects", "objects")]
+        return rows.groupBy("p").agg(F.sum("n").alias("n"), F.sum("firsts").alias("firsts"), *terms)
+
+    def sizes(self, query: Query) -> dict[str | None, compiler.Size]:
+        """Sizes of the predicates that a query names, and of all facts if it has a variable predicate, from the statistics."""
+        patterns = compiler.all_patterns(query)
+        named = {p.p.value for p in patterns if isinstance(p.p, Const)}
+        size = lambda r: compiler.Size(float(r.firsts), float(max(r.subjects, 1)), float(max(r.objects, 1)), False)
+        rows = self.predicates()
+        out: dict[str | None, compiler.Size] = {n: compiler.Size(0.0, 1.0, 1.0, False) for n in named}
+        out |= {r.p: size(r) for r in rows.where(F.col("p").isin(*named)).collect()} if named else {}
+        if len(named) < len({p.p for p in patterns}):
+            total = rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("firsts", "subjects", "objects")]).first()
+            out[None] = size(total)
+        return out
+
+    # --- writing ---
+    def _listed(self, *rows: DataFrame) -> list[str] | None:
+        """The predicates of rows, null if there are more than LISTED."""
+        names: set[str] = set()
+        for r in rows:
+            names |= {x.p for x in r.select("p").distinct().limit(LISTED + 1).collect()}
+        return sorted(names) if len(names) <= LISTED else None
 
     def build(self, facts: DataFrame, hyper: DataFrame | None = None) -> int:
         """A new version of these facts and hyperedges alone; hyperedges are stored as facts too."""
-        hyper = self.spark.createDataFrame([], HYPER) if hyper is None else hyper
-        return self._new_version(build_rows(facts.select("s", "p", "o", "t").unionByName(reified(hyper))), hyper)
-
-    def load(self, path: str) -> int:
+        versions = self.versions()
+        rows = facts.select("s", "p", "o", "t")
+        rows = rows if hyper is None else rows.unionByName(reified(hyper))
+        part = self._write_part(marked(build_rows(rows)), hyper)
+        hypers = [] if hyper is None else [part]
+        batches = self._manifest()["batches"] if versions else {}
+        base = {"version": versions[-1] if versions else 0, "parts": [{"name": part, "without": []}], "hyper": hypers, "exact": True, "batches": batches}
+        return self._commit(base | {"next_hid": self._after(1, hypers)})
+
+    def _after(self, hid: int, parts: list[str]) -> int:
+        """The least number from `hid` on that is beyond the hids of some parts."""
+        for p in parts:
+            rows = self._part("hyper", HYPER, [p])
+            hid = max(hid, (rows.agg(F.max(F.regexp_extract("hid", r"^hid(\d+)$", 1).try_cast("bigint"))).first()[0] or 0) + 1)
+        return hid
+
+    def load(self, path: str, cut_dots: bool = False) -> int:
         """Build from text files of both kinds of lines."""
         lines = lines_of(self.spark, path)
-        return self.build(facts_of(lines), cut_lineage(hyper_of(lines)))
+        return self.build(facts_of(lines), cut_lineage(hyper_of(lines, cut_dots=cut_dots)))
 
     def next_hid(self) -> int:
-        n = self.hyper().agg(F.max(F.regexp_extract("hid", r"^hid(\d+)$", 1).try_cast("bigint"))).first()[0]
-        return (n or 0) + 1
+        return self._manifest()["next_hid"]
 
-    def append(self, source: str | DataFrame, hyper: DataFrame | None = None) -> int:
-        """Add facts (a path of text files, or rows) that are not there yet; the number of facts added."""
+    def append(self, source: str | DataFrame, hyper: DataFrame | None = None, batch: tuple[str, int] | None = None) -> int:
+        """Add facts (a path of text files, or rows) that are not there yet, as a new version; the number of facts added.
+
+        Stored facts are looked at under the predicates of the new ones only. A `batch` (of a stream, number) that the
+        store holds already is passed over, hyperedges included.
+        """
+        m = self._manifest()
+        if batch and m["batches"].get(batch[0], -1) >= batch[1]:
+            return 0
         if isinstance(source, str):
             lines = lines_of(self.spark, source)
-            source, hyper = facts_of(lines), cut_lineage(hyper_of(lines, self.next_hid()))
+            source, hyper = facts_of(lines), cut_lineage(hyper_of(lines, m["next_hid"]))
         new = source.select("s", "p", "o", "t")
-        if hyper is not None:
-            new = new.unionByName(reified(hyper))
-        stored = self.facts()
-        fresh = cut_lineage(compiler.insert_facts(stored.where(F.lit(False)), new).join(stored.select("s", "p", "o"), ["s", "p", "o"], "left_anti").select("s", "p", "o", "t"))
+        new = cut_lineage(new if hyper is None else new.unionByName(reified(hyper)))
+        names = self._listed(new)
+        stored = self._stored(m).where("first")
+        stored = stored if names is None else stored.where(F.col("p").isin(*names))
+        fresh = cut_lineage(compiler.fresh_facts(stored, new))
         n = fresh.count()
         if n or hyper is not None:
-            self._write(self._dir(), fresh, hyper, "append")
+            part = self._write_part(fresh.withColumn("first", F.lit(True)), hyper)
+            m["parts"].append({"name": part, "without": []})
+            if hyper is not None:
+                m["hyper"].append(part)
+                m["next_hid"] = self._after(m["next_hid"], [part])
+        if batch:
+            m["batches"][batch[0]] = batch[1]
+        if n or hyper is not None or batch:
+            self._commit(m)
         return n
 
+    def _replace(self, m: dict, names: list[str] | None, facts: DataFrame, hyper: DataFrame | None = None) -> str:
+        """A part in `m` with `facts`, which stand for all facts of `names` (of every predicate if null) in the parts before."""
+        part = self._write_part(facts, hyper)
+        old = [] if names is None else [x | {"without": sorted({*x["without"], *names})} for x in m["parts"]]
+        m["parts"] = [*old, {"name": part, "without": []}]
+        return part
+
+    def update(self, query: Query) -> int:
+        """Commit an update form as a new version; files of predicates that it removes nothing of stay as they are."""
+        m = self._manifest()
+        stored = self._stored(m)
+        removed, added = map(cut_lineage, compiler.changes(stored.where("first"), query, self.sizes(query)))
+        names = compiler.predicates_removed(query)
+        names = self._listed(removed) if names is None else sorted(names)
+        into = self._listed(added)
+        of = lambda rows, some: rows if some is None else rows.where(F.col("p").isin(*some))
+        left = lambda rows: rows.join(removed, ["s", "p", "o"], "left_anti").select("s", "p", "o", "t", "first")
+        new = cut_lineage(compiler.fresh_facts(left(of(stored.where("first"), into)), added, small=query.kind == "insert").withColumn("first", F.lit(True)))
+        hyper = None
+        changed = None if names is None or into is None else {*names, *into}
+        if changed is None or changed & set(RESERVED):
+            m["exact"] = False
+            hyper = cut_lineage(assembled(left(of(stored, RESERVED)).unionByName(new)))
+        if names == []:
+            part = self._write_part(new, hyper)
+            m["parts"].append({"name": part, "without": []})
+        else:
+            part = self._replace(m, names, left(of(stored, names)).unionByName(new), hyper)
+        if hyper is not None:
+            m["hyper"] = [part]
+        return self._commit(m)
+
+    def compact(self, predicates: list[str] | None = None) -> int:
+        """A new version with the facts of all parts, or of some predicates, in one part, sorted as a whole."""
+        m = self._manifest()
+        rows = self._stored(m)
+        part = self._replace(m, predicates, rows if predicates is None else rows.where(F.col("p").isin(*predicates)), self.hyper() if predicates is None else None)
+        if predicates is None:
+            m["hyper"] = [part]
+        return self._commit(m)
+
+    def vacuum(self, keep: int = 1) -> list[str]:
+        """Delete all but the last `keep` versions, and the parts that none of those holds; the names of those parts.
+
+        Not while a writer is at work: its part has no version yet.
+        """
+        versions = self.versions()
+        live = {x for v in versions[-keep:] for m in [self._manifest(v)] for x in [*[p["name"] for p in m["parts"]], *m["hyper"]]}
+        fs, path = self._fs()
+        for v in versions[:-keep]:
+            fs.delete(path(f"{self.path}/versions/{v:06d}.json"), False)
+        there = {n.removeprefix("part=") for what in ("facts", "hyper", "stats") for n in self._names(what)}
+        for n in there - live:
+            for what in ("facts", "hyper", "stats"):
+                fs.delete(path(f"{self.path}/{what}/part={n}"), True)
+        return sorted(there - live)
+
+    # --- reading ---
     def export(self, path: str) -> None:
         """Text lines of all facts: reserved predicates under hyperedge, all others under tripleedge."""
         for name, reserved in (("hyperedge", True), ("tripleedge", False)):
             export_lines(self.facts(), reserved).write.mode("overwrite").text(f"{path}/{name}")
 
     def sparql(self, text: str, strict: bool = False) -> DataFrame | int:
-        """Rows of a SELECT; an update form writes a new version and gives its number."""
-        if parse(text).kind == "select":
-            return compiler.run(self.facts(), text, self.sizes(), strict)
-        changed = compiler.run(self.facts(), text)
-        return self._new_version(changed, assembled(changed))
+        """Rows of a SELECT; an update form commits a new version and gives its number.
+
+        Patterns read one row of each (s, p, o), so they need no distinct. Patterns that put hyperedges together are
+        answered from the hyperedges as long as no update form changed their facts.
+        """
+        query = compiler.checked(text, strict)
+        if query.kind != "select":
+            return self.update(query)
+        m = self._manifest()
+        facts = self._stored(m).where("first").select("s", "p", "o", "t")
+        return compiler.select(facts, query, self.sizes(query), self.hyper() if m["exact"] and m["hyper"] else None)
 
     def search(self, head: str = "", rel: str = "", tail: str = "") -> DataFrame:
         return search(self.facts(), head, rel, tail)
@@ -185,7 +361,3 @@ class GraphStore:
 
     def stats(self, kind: str) -> DataFrame:
         return stats(self.facts(), kind)
-
-    def predicates(self) -> DataFrame:
-        """(p, n, subjects, objects): the predicates, their facts, and estimates of their distinct terms."""
-        return self.spark.read.schema("p string, n bigint, subjects bigint, objects bigint").parquet(f"{self._dir()}/stats")

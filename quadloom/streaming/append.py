@@ -10,16 +10,18 @@ from quadloom.sources.text import facts_of, hyper_of
 from quadloom.store import GraphStore
 
 
-def append_stream(spark: SparkSession, folder: str, store: GraphStore, checkpoint: str, once: bool = True) -> StreamingQuery:
+def append_stream(spark: SparkSession, folder: str, store: GraphStore, checkpoint: str, once: bool = True, most_parts: int = 64) -> StreamingQuery:
     """Append every new text file of `folder` to `store`.
 
-    The checkpoint remembers the files, and an append skips facts that are there, so a batch that runs again after a
-    failure adds no fact twice; its hyperedges get new hids only if their lines were not committed before.
+    The checkpoint remembers the files. The number of a batch is committed with its facts and hyperedges, so a batch
+    that runs again after a failure adds nothing twice. Beyond `most_parts` parts the store is compacted.
     """
 
-    def append(batch: DataFrame, _: int) -> None:
+    def append(batch: DataFrame, number: int) -> None:
         lines = cut_lineage(batch)
-        store.append(facts_of(lines), cut_lineage(hyper_of(lines, store.next_hid())))
+        store.append(facts_of(lines), cut_lineage(hyper_of(lines, store.next_hid())), (checkpoint, number))
+        if store.parts() > most_parts:
+            store.compact()
 
     stream = spark.readStream.schema("value string").text(folder)
     writer = stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)

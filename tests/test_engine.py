@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 
 from quadloom import model, store
-from quadloom.operators.graph import reaches, reduce_all, scan, semi_reduce
+from quadloom.operators.graph import reaches, reduce_all, scan, semi_reduce, within_range
 from quadloom.plans import compiler
 from quadloom.plans.query import RDF_TYPE, Const, Filter, Pattern, QueryError, Var, parse
 from quadloom.sources import text
@@ -114,8 +114,17 @@ def test_shapes_and_order():
     assert compiler.shape([v("x", "p", "y"), v("y", "q", "z"), v("z", "r", "x")]) == "cyclic"
     assert compiler.join_classes([v("x", "p", "y"), v("x", "q", "z"), v("w", "r", "y")]) == {"SS", "OO"}
     sizes = {"big": compiler.Size(1e6, 1e3, 1e3), "small": compiler.Size(10, 10, 10), "far": compiler.Size(5, 5, 5)}
-    order = compiler.order_patterns([v("a", "big", "b"), v("c", "far", "d"), v("a", "small", "c")], sizes)
-    assert [p.p.value for p in order] == ["far", "small", "big"]
+    patterns = [v("a", "big", "b"), v("c", "far", "d"), v("a", "small", "c")]
+    assert compiler.join_tree([(p, compiler.estimate(p, sizes)) for p in patterns]) == (patterns[0], (patterns[1], patterns[2]))
+    # Both arms of a ring are joined on their own.
+    sizes = {"oc": compiler.Size(1.5e5, 1.5e5, 1.5e4), "cn": compiler.Size(1.5e4, 1.5e4, 25), "sn": compiler.Size(1e3, 1e3, 25), "ps": compiler.Size(6e5, 2e4, 1e3), "op": compiler.Size(6e5, 1.5e5, 2e4)}
+    ring = {k: v(*t) for k, t in {"oc": ("o", "oc", "c"), "cn": ("c", "cn", "n"), "sn": ("s", "sn", "n"), "ps": ("p", "ps", "s"), "op": ("o", "op", "p")}.items()}
+    tree = compiler.join_tree([(p, compiler.estimate(p, sizes)) for p in ring.values()])
+    assert {frozenset(_leaves(t)) for t in tree} == {frozenset({"sn", "ps"}), frozenset({"op", "oc", "cn"})}
+
+
+def _leaves(tree):
+    return [tree.p.value] if isinstance(tree, Pattern) else [x for t in tree for x in _leaves(t)]
 
 
 def test_updates(facts):
@@ -129,9 +138,51 @@ def test_updates(facts):
     assert after("delete { ?x <s> ?y } insert { ?y <s> ?x }") == before - Counter([("f", "s", "g", "no")]) + Counter([("g", "s", "f", "no")])
 
 
+def test_updates_by_whole_groups(spark):
+    """Filters, all patterns, branches and options decide what an update removes and puts in."""
+    facts = spark.createDataFrame([("a", "p", "x", "1"), ("b", "p", "y", "2"), ("c", "q", "x", "3"), ("x", "r", "z", "4")], model.FACTS)
+
+    def after(text):
+        return rows(compiler.run(facts, text))
+
+    a, b, c, d = rows(facts)
+    assert after("delete { ?s <p> ?o filter(?o = <x>) }") == [b, c, d]
+    assert after("delete { ?s <p> ?o filter(?none = <x>) }") == [a, b, c, d]
+    assert after("delete { ?s <p> ?o . ?s <q> ?z }") == [a, b, c, d]
+    assert after("delete { ?s <p> ?o . ?o <r> ?z }") == [b, c]
+    assert after("delete { ?s <p> ?o . ?t <q> ?o filter(?s != ?t) }") == [b, d]
+    assert after("delete { { ?s <p> ?o filter(?o = <y>) } union { ?s <q> ?o } }") == [a, d]
+    assert after("delete { ?s <p> ?o . optional { ?o <r> ?z } filter(?s = <b>) }") == [a, c, d]
+    assert after("delete { ?s <p> ?o . optional { ?o <r> ?z } }") == [c]
+    assert after("delete { ?s ?v <x> }") == [b, d]
+    assert after("delete { ?s <p> ?o . ?o <r> ?z } insert { ?s <n> ?z . ?z <m> ?s }") == sorted([b, c, ("a", "n", "z", "1"), ("z", "m", "a", "4")])
+    assert after("delete { ?s <p> ?o filter(?o in (<x>, <y>)) } insert { ?o <p> ?s . <k> <l> ?o }") == sorted(
+        [c, d, ("x", "p", "a", "1"), ("y", "p", "b", "2"), ("k", "l", "x", "no"), ("k", "l", "y", "no")]
+    )
+    assert after("delete { { ?s <p> ?o } union { ?s <q> ?w } } insert { ?s <had> ?w }") == sorted([d, ("c", "had", "x", "no")])
+    assert after("delete { ?s <p> ?o filter(?s reaches <z> via <r>) }") == [a, b, c, d]
+    for text in ("delete { ?s <p> ?o } insert { ?n <p> ?o }", "delete { ?s <p> ?o } insert { ?s <p> ?o filter(?s = <a>) }", "insert data { <a> <p> <b> . optional { <a> <p> <c> } }", "delete { filter(?x = <a>) }"):
+        with pytest.raises(QueryError):
+            parse(text)
+
+
+def test_labels_and_strictness_in_all_groups(facts):
+    for text in ("select ?x where { ?x <p> _:n . { ?x <q> ?y } _:n <r> ?z }", "select ?x where { ?x <p> _:n . optional { _:n <q> ?y } }", "select ?x where { { ?x <p> _:n } union { ?x <q> _:n } }"):
+        with pytest.raises(QueryError):
+            parse(text)
+    assert len(parse("select ?x where { ?x <p> _:n . filter(?x = <a>) . _:n <r> ?z }").where.variables()) == 3
+    for text in ("select ?x where { { ?s ?p <x> } union { ?s <p> ?x } }", "select ?x where { ?x <p> ?y optional { ?x ?q ?z } }", "delete { ?x ?p ?y }"):
+        with pytest.raises(QueryError):
+            compiler.run(facts, text, strict=True)
+
+
 def test_reaches_and_semi_joins(facts):
     assert rows(reaches(facts, "a", "p")) == [("a",), ("b",), ("c",)]
     assert rows(reaches(facts, "nowhere", "p")) == [("nowhere",)]
+    chain = facts.sparkSession.createDataFrame([(f"n{i:02}", "next", f"n{i + 1:02}", "no") for i in range(11)], model.FACTS)
+    assert rows(reaches(chain, "n11", "next")) == [(f"n{i:02}",) for i in range(12)]
+    assert rows(within_range(chain, "o", chain.where("s in ('n03', 'n05')").select("o")).select("s")) == [("n03",), ("n04",), ("n05",)]
+    assert rows(within_range(chain, "o", chain.where("false"))) == []
     left, right = (scan(facts, Pattern(Var("x"), Const(p), Var(o))) for p, o in (("q", "y"), ("p", "z")))
     for hint in ("", "shuffle_hash", "merge"):
         assert rows(semi_reduce(left, right, ["x"], hint)) == [("a", "x"), ("b", "x"), ("c", "y")]
@@ -152,6 +203,10 @@ def test_hyperedge_search_equals_assembly(spark):
     for s, p, o in itertools.product(("", "S1"), ("", "P1"), ("", "o1")):
         direct = rows(model.hyper_rows(hyper, s, p, o))
         assert rows(compiler.run(facts, store.query_gene_hyper(s, p, o)).select("h", "x", "y", "z", "k", "m")) == direct
+        assert rows(compiler.run(facts, store.query_gene_hyper(s, p, o), hyper=hyper)) == direct
+    joined = "select ?h ?n where { ?h <rdfs> ?x . ?h <rdfp> ?y . ?h <rdfo> ?z . ?h <rdfst> ?k . ?h <rdfet> ?m . ?x <named> ?n }"
+    more = facts.union(spark.createDataFrame([("S1", "named", "one", "no")], model.FACTS))
+    assert rows(compiler.run(more, joined, hyper=hyper)) == rows(compiler.run(more, joined))
     assert len(rows(model.hyper_rows(hyper))) == 4
     assert [r.objects for r in model.assembled(facts).orderBy("hid").collect()] == [["o1", "o2"], ["o1"], ["o3"], [], []]
     assert rows(model.grouped(model.hyper_rows(hyper)).select("hid")) == [("hid1",), ("hid2",), ("hid3",)]
@@ -184,8 +239,8 @@ def test_store_life(spark, facts, tmp_path):
     new = spark.createDataFrame([("a", "q", "x", "2009-09-09"), ("n", "q", "x", "2009-09-09"), ("n", "q", "x", "2008-08-08"), ("", "q", "x", "no")], model.FACTS)
     assert db.append(new) == 1
     assert rows(db.search("n", "q")) == [("n", "q", "x", "2008-08-08")]
-    assert db.sparql("delete { ?x <q> ?y }") == 2 and db.facts().where("p = 'q'").count() == 0
-    assert db.facts(1).where("p = 'q'").count() == 6
+    assert db.sparql("delete { ?x <q> ?y }") == 3 and db.facts().where("p = 'q'").count() == 0
+    assert [db.facts(v).where("p = 'q'").count() for v in (1, 2)] == [5, 6]  # an append is a version too
     assert {r.n for r in db.stats("total").collect()} == {db.facts().count()}
     for kind in ("s", "o", "sp", "op", "p"):
         assert sum(r.n for r in db.stats(kind).collect()) == db.facts().count()
@@ -193,12 +248,95 @@ def test_store_life(spark, facts, tmp_path):
     assert rows(text.read_facts(spark, str(tmp_path / "out" / "*"))) == rows(db.facts().select("s", "p", "o", "t"))
 
 
+def files(path):
+    return {str(f): f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+
+
+def test_store_writes_touch_only_what_changes(spark, facts, tmp_path):
+    db = GraphStore(spark, str(tmp_path / "db"))
+    db.build(facts, spark.createDataFrame(HYPER[:3], model.HYPER))
+    before = files(tmp_path)
+    everything = db.facts().count()
+    db.sparql("delete { ?x <t> ?y . ?y <p> ?z } insert { ?y <back> ?x }")
+    assert rows(db.facts().where("p in ('t', 'back')")) == rows(spark.createDataFrame([("b", "x", "no", "back"), ("a", "y", "no", "back")], "s string, o string, t string, p string").select(*db.facts().columns))
+    new = [f for f in files(tmp_path) if f not in before]
+    assert before.items() <= files(tmp_path).items()
+    assert {f.split("/p=")[1].split("/")[0] for f in new if "/db/facts/" in f} == {"p", "back"}  # p and t are written anew, t is empty now
+    assert db.facts().where("p = 'p'").count() == 6 - 3 and db.parts() == 2
+    # Variable predicates: what was found decides.
+    db.sparql("delete { ?x ?v <g> }")
+    assert db.facts().where("o = 'g'").count() == 0
+    db.sparql("insert data { <new> <p> <n> . <a> <p> <a> }")
+    assert rows(db.facts().where("s = 'new'").select("o")) == [("n",)] and db.facts().where("s = 'a' and o = 'a'").count() <= 1
+    assert db.facts(1).count() == everything
+    # An update of hyperedge facts changes the hyperedges, and assembly then reads the facts.
+    db.sparql("delete { ?h <rdfo> 'o2' } insert { ?h <rdfo> 'o9' }")
+    assert rows(db.search_hyper(s="S1").where("hid = 'hid1'").select("object")) == [("o1",), ("o9",)]
+    assert rows(db.sparql(store.query_gene_hyper(o="o9")).select("h", "z")) == [("hid1", "o1"), ("hid1", "o9")]
+    all_facts, hyper = rows(db.facts().select("s", "p", "o", "t")), rows(db.hyper())
+    found = {r.p: (r.n, r.firsts) for r in db.predicates().collect()}
+    db.compact(["p", "q"])
+    assert rows(db.facts().select("s", "p", "o", "t")) == all_facts
+    last = db.compact()
+    assert db.parts() == 1 and len(db.vacuum()) >= 4 and db.versions() == [last]
+    assert rows(db.facts().select("s", "p", "o", "t")) == all_facts and rows(db.hyper()) == hyper
+    assert {r.p: (r.n, r.firsts) for r in db.predicates().collect()} == found
+    assert rows(db.sparql("select ?o where { <a> <q> ?o }")) == [("x",)]
+
+
+def test_store_survives_a_crash_and_refuses_a_second_writer(spark, facts, tmp_path, monkeypatch):
+    db = GraphStore(spark, str(tmp_path / "db"))
+    db.build(facts)
+    before = rows(db.facts())
+    new = spark.createDataFrame([("n", "q", "m", "no")], model.FACTS)
+    with monkeypatch.context() as m:
+        m.setattr(GraphStore, "_commit", lambda *_: 1 / 0)
+        for write in (lambda: db.append(new), lambda: db.sparql("delete { ?x <q> ?y }"), lambda: db.compact()):
+            with pytest.raises(ZeroDivisionError):
+                write()
+            assert db.versions() == [1] and rows(db.facts()) == before
+    stale = db._manifest()
+    assert db.append(new) == 1 and db.versions() == [1, 2]
+    with pytest.raises(RuntimeError):
+        db._commit(stale)
+    assert rows(db.search("n", "q")) == [("n", "q", "m", "no")]
+
+
+def test_stream_batch_runs_again(spark, facts, tmp_path):
+    db = GraphStore(spark, str(tmp_path / "db"))
+    db.build(facts)
+    lines = spark.createDataFrame([("<a> <k> <b> .",), ("{P,S,2001-01-01,null,{T}}.",)], "value string").coalesce(1)
+    for _ in range(2):
+        db.append(text.facts_of(lines), text.hyper_of(lines, db.next_hid()).checkpoint(), ("stream", 0))
+    assert rows(db.search_hyper(o="T").select("hid")) == [("hid1",)] and db.parts() == 2
+    db.append(text.facts_of(lines), None, ("stream", 1))
+    assert db.append(text.facts_of(lines), None, ("stream", 1)) == 0 and db.parts() == 2
+
+
+def test_predicates_share_files_and_large_ones_are_spread(spark, tmp_path):
+    many = spark.range(40_000).selectExpr("concat('s', id % 20000) as s", "'big' as p", "concat('o', id) as o", "'no' as t")
+    few = spark.range(50).selectExpr("'x' as s", "concat('small', id) as p", "'y' as o", "'no' as t")
+    db = GraphStore(spark, str(tmp_path / "db"))
+    off = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "40"}
+    old = {k: spark.conf.get(k) for k in off}
+    try:
+        for k, v in off.items():
+            spark.conf.set(k, v)
+        db.build(many.union(few))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(list(tmp_path.rglob("p=big/*.parquet"))) > 32
+    assert db.facts().count() == 40_050
+
+
 def test_text_loading_and_stream(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
     (folder / "a.txt").write_text('<a> <p> "b c" <2001-01-01> .\n\n# c\n<a> <p> <d.e>\nnonsense\n{P,S.1,2001-01-01,null,{o 1,o2}}.\n{P,S}.\n<a> <p> "5"^^<xsd:int> .\n')
     assert rows(text.read_facts(spark, str(folder))) == [("a", "p", "5", "no"), ("a", "p", "b c", "2001-01-01"), ("a", "p", "d.e", "no")]
     assert rows(text.read_hyper(spark, str(folder), 7)) == [("hid7", "S.1", "P", ["o 1", "o2"], "2001-01-01", "null")]
+    assert rows(text.hyper_of(text.lines_of(spark, str(folder)), cut_dots=True).select("subject", "predicate", "objects")) == [("S", "P", ["null", "o 1", "o2"])]
     db = GraphStore(spark, str(tmp_path / "db"))
     assert db.load(str(folder)) == 1 and db.facts().count() == 3 + 6 and db.next_hid() == 2
     stream = tmp_path / "stream"
@@ -223,6 +361,6 @@ def test_command_line(spark, tmp_path):
     assert cli.run(spark, ["insert", db, str(tmp_path / "in.txt")]).endswith("facts added")
     assert rows(cli.run(spark, ["search", db, "a", "p", ""])) == [("a", "p", "b", "no")]
     assert rows(cli.run(spark, ["hyper", db, "S", "", ""]).select("object").distinct()) == [("o",)]
-    assert cli.run(spark, ["query", db, "delete data { <a> <p> <b> }"]) == "version 2"
+    assert cli.run(spark, ["query", db, "delete data { <a> <p> <b> }"]) == "version 3"
     assert rows(cli.run(spark, ["predicates", db]).select("p")) == [("rdfet",), ("rdfo",), ("rdfp",), ("rdfs",), ("rdfst",)]
     assert "exported" in cli.run(spark, ["export", db, str(tmp_path / "out")])

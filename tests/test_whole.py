@@ -45,24 +45,24 @@ def against_sql(spark, d, name):
 
 
 def test_scans_read_every_table(spark, data):
-    facts = against_sql(spark, data, "scan_all_whole")
+    facts = against_sql(spark, data, "scan_all")
     # A part that an order holds twice is one fact of the pattern.
     assert {p for _, p, _ in facts} == PREDICATES and len(facts) == len(set(facts)) == 32
-    assert against_sql(spark, data, "scan_s_whole") == sorted([(s,) for s, _, _ in facts], key=repr)
-    assert against_sql(spark, data, "scan_p_whole") == sorted([(p,) for _, p, _ in facts], key=repr)
+    assert against_sql(spark, data, "scan_s") == sorted([(s,) for s, _, _ in facts], key=repr)
+    assert against_sql(spark, data, "scan_p") == sorted([(p,) for _, p, _ in facts], key=repr)
 
 
 def test_variable_predicate_joins_every_edge(spark, data):
     want = [("customer/1", "c_nation", "nation/3"), ("customer/1", "located_in", "nation/3"), ("supplier/5", "located_in", "nation/3"), ("supplier/5", "s_nation", "nation/3")]
-    assert against_sql(spark, data, "join_variable_predicate_whole") == want
+    assert against_sql(spark, data, "join_variable_predicate") == want
 
 
 UPDATED = {
-    "insert_data_whole": (35, {"region/9"}),
-    "delete_data_whole": (33, set()),
-    "delete_where_whole": (33, set()),
-    "update_pattern_whole": (34, {"ORIENT"}),
-    "text_roundtrip_whole": (34, set()),
+    "insert_data": (35, {"region/9"}),
+    "delete_data": (33, set()),
+    "delete_where": (33, set()),
+    "update_pattern": (34, {"ORIENT"}),
+    "text_roundtrip": (34, set()),
 }
 
 
