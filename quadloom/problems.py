@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadloom.functions.instants import utc_instants
-from quadloom.operators.changes import current_triples
+from quadloom.operators.changes import current_triples, triple_state
 from quadloom.operators.intervals import periods_and_gaps
 from quadloom.operators.pivot import company_table, filled_cells
 from quadloom.operators.skew import page_figures
@@ -40,6 +40,13 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return current_triples(table(spark, sf_dir, "change_log"))
 
 
+def p5_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the fold keeps of every key, tombstones included; p5_found has the present ones with their values."""
+    state = triple_state(table(spark, sf_dir, "change_log"))
+    present = F.coalesce(F.col("_last.in"), F.lit(False)).alias("present")
+    return state.select("pid", "s", present, F.col("_last.q.log_count").alias("last_count"), F.col("_v_o.v").alias("last_o"), F.col("_v_t.v").alias("last_t"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filled_cells(table(spark, sf_dir, "facts"), table(spark, sf_dir, "predicate_map"))
 
@@ -57,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_loaded": p3_loaded,
     "p4_found": p4_found,
     "p5_found": p5_found,
+    "p5_state": p5_state,
     "p6_found": p6_found,
     "p6_wide": p6_wide,
 }
@@ -100,6 +108,15 @@ ORACLES: dict[str, str] = {
         from c join l on c.pid is not distinct from l.pid and c.s is not distinct from l.s
         where last_op = 'I' and (mt, log_count, page_no) >= k and op <> 'D'
         group by c.pid, c.s""",
+    "p5_state": """
+        with c as (
+          select distinct page_no, pid, log_count, upper(left(trim(operation_type), 1)) op, s, o, t, max(min_t) over (partition by page_no) mt
+          from change_log)
+        select pid, s, coalesce(arg_max(op, (mt, log_count, page_no)) filter (op in ('I', 'D')) = 'I', false) as present,
+               arg_max(log_count, (mt, log_count, page_no)) filter (op in ('I', 'D')) as last_count,
+               arg_max_null(o, (mt, log_count, page_no)) filter (op = 'I' or (op = 'U' and o is not null)) as last_o,
+               arg_max_null(t, (mt, log_count, page_no)) filter (op = 'I' or (op = 'U' and t is not null)) as last_t
+        from c group by pid, s""",
     "p3_found": r"""
         with l as (
           select line_id, trim(line_text, e' \t') as x from raw_lines where line_text is not null),

@@ -143,6 +143,41 @@ def test_fold_with_base_rows_and_unknown_operations(spark):
     assert rows(got) == [("b", "9")]
 
 
+def test_tombstones_outlive_a_fold(spark):
+    schema = "k int, q int, op string, v string"
+    spec = (["k"], F.col("q"), changes.operation(F.col("op")), ["v"])
+    first = spark.createDataFrame([(1, 1, "i", "A"), (1, 10, "d", None), (2, 10, "i", "NEW"), (3, 7, "u", "U")], schema)
+    late = spark.createDataFrame([(1, 5, "i", "LATE"), (2, 5, "u", "OLD"), (3, 6, "i", "B")], schema)
+    state = changes.fold_state(late, *spec, state=changes.fold_state(first, *spec))
+    assert rows(changes.current_rows(state, ["k"], ["v"])) == [(2, "NEW"), (3, "U")]
+    assert state.count() == 3
+
+
+def test_any_split_of_a_feed_folds_alike(spark):
+    random.seed(8)
+    feed = [(random.randint(0, 9), q, random.choice("iud"), random.choice([None, f"v{q}"]), random.choice([None, f"w{q}"])) for q in range(160)]
+    schema = "k int, q int, op string, v string, w string"
+    spec = (["k"], F.col("q"), changes.operation(F.col("op")), ["v", "w"])
+    table = {}
+    for k, _, op, v, w in feed:
+        if op == "i":
+            table[k] = (v, w)
+        elif op == "d":
+            table.pop(k, None)
+        elif k in table:
+            table[k] = (table[k][0] if v is None else v, table[k][1] if w is None else w)
+    want = sorted(((k, *x) for k, x in table.items()), key=repr)
+    whole = changes.fold_state(spark.createDataFrame(feed, schema), *spec)
+    assert rows(changes.current_rows(whole, ["k"], ["v", "w"])) == want
+    for n in (2, 3, 5):
+        random.shuffle(feed)
+        batches = [feed[i::n] for i in range(n)] + [feed[:20]]  # some come again
+        state = None
+        for b in batches:
+            state = changes.fold_state(spark.createDataFrame(b, schema), *spec, state=state).checkpoint()
+        assert rows(state) == rows(whole)
+
+
 MAP = "pid int, pred_name string, used int, value_type string, multi boolean"
 ATTRS = [(1, "name", 1, "string", False), (2, "size", 1, "integer", False), (3, "cap", 1, "decimal", False), (4, "born", 1, "date", False),
          (5, "open", 1, "boolean", False), (6, "rel", 1, "ref", True), (7, "7", 0, None, None)]
