@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quadloom.functions.values import SPARK_TYPES, stripped, with_plain_text
 from quadloom.session import broadcast_if_small
 
-#: Attributes pivoted together. An aggregate holds this many values per entity at once.
+#: Attributes pivoted together. An aggregate has this many columns, whatever the number of attributes.
 BLOCK = 8
 #: Largest number of attributes; the list of columns lives in the plan.
 MAX_ATTRIBUTES = 20_000
@@ -48,24 +48,30 @@ def wide_rows(
 ) -> DataFrame:
     """One row per entity, one typed column per attribute: the value of greatest `order` among the readable ones.
 
-    `value` holds plain texts (see functions.values.with_plain_text) or null where unreadable. Each block of attributes is
-    aggregated by entity on its own; all blocks and the list of entities are hashed by the entity into the same number
-    of partitions, so the left joins that put the blocks side by side need no exchange. Partial aggregation sends one
-    row per entity and task even for an entity with a third of all rows. Entities without any readable value have a
-    row of nulls; rows with a null entity count for nothing. Ties in `order` fall to the greater text.
+    `value` holds plain texts (see functions.values.with_plain_text) or null where unreadable. Columns are pivoted in
+    blocks: each attribute has a block and a place in it, so one aggregate of `block` columns serves all blocks.
+
+    1. The best value of each (entity, attribute), combined before its shuffle: even an entity with a third of all rows
+       sends one row per attribute and task.
+    2. One exchange puts these cells into buckets by entity, of which none has more than one row per attribute.
+    3. Within the buckets, each block is pivoted by (entity, block), and the blocks of an entity are put side by side.
+       Neither step shuffles.
+
+    The table is read once and shuffled twice however many attributes there are. Entities without any readable value
+    have a row of nulls; rows with a null entity count for nothing. Ties in `order` fall to the greater text.
     """
-    rows = triples.where(F.col(entity).isNotNull())
-    out = rows.select(entity).distinct()
-    for start in range(0, len(attributes), block):
-        part = attributes[start : start + block]
-        aggs = []
-        for a in part:
-            due = (F.col(attribute) == a.name) & F.col(value).isNotNull()
-            best = F.max(F.when(due, F.struct(F.col(order).alias("n"), F.col(value).alias("v"))))
-            aggs.append(best["v"].cast(SPARK_TYPES[a.value_type]).alias(a.name))
-        piece = rows.where(F.col(attribute).isin([a.name for a in part])).groupBy(entity).agg(*aggs)
-        out = out.join(piece, entity, "left")
-    return out
+    spark = triples.sparkSession
+    places = spark.createDataFrame([(a.name, i // block, i % block) for i, a in enumerate(attributes)], "_a string, _block int, _place int")
+    due = F.when(F.col(value).isNotNull(), F.struct(F.col(order).alias("n"), F.col(value).alias("v")))
+    rows = triples.where(F.col(entity).isNotNull()).select(F.col(entity).alias("_e"), F.col(attribute).alias("_a"), due.alias("_x"))
+    cells = rows.groupBy("_e", "_a").agg(F.max("_x").alias("_x"))
+    # At most MAX_ATTRIBUTES rows.
+    cells = cells.join(F.broadcast(places), "_a", "left").select("_e", "_block", "_place", F.col("_x.v").alias("_v")).repartition("_e")
+    pivoted = cells.groupBy("_e", "_block").agg(*[F.max(F.when(F.col("_place") == i, F.col("_v"))).alias(f"_{i}") for i in range(block)])
+    side = F.collect_list(F.when(F.col("_block").isNotNull(), F.struct("_block", F.struct(*[f"_{i}" for i in range(block)]))))
+    wide = pivoted.groupBy("_e").agg(F.map_from_entries(side).alias("_blocks"))
+    columns = [F.col("_blocks")[i // block][f"_{i % block}"].cast(SPARK_TYPES[a.value_type]).alias(a.name) for i, a in enumerate(attributes)]
+    return wide.select(F.col("_e").alias(entity), *columns)
 
 
 def melted(wide: DataFrame, attributes: list[Attribute], entity: str = "s") -> DataFrame:

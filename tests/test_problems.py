@@ -202,11 +202,23 @@ def test_filled_cells(spark, block):
     assert rows(pivot.filled_cells(facts(spark, []), pm, block)) == []
 
 
-def test_wide_joins_need_no_further_exchange(spark):
-    wide, _ = pivot.company_table(facts(spark, [("company/1", "name", "x")]), spark.createDataFrame(ATTRS, MAP), block=1)
+@pytest.mark.parametrize("n", [1, 16, 200, 2000])
+def test_scans_and_shuffles_do_not_grow_with_attributes(spark, tmp_path, n):
+    attributes = [pivot.Attribute(f"a{i}", "string") for i in range(n)]
+    data = [(f"e{e}", f"a{(e * 7 + j) % n}", f"v{e}-{j}", e * 100 + j) for e in range(5) for j in range(30)] + [("none", "other", "x", 1), ("none", "a0", None, 2), (None, "a0", "x", 3)]
+    path = str(tmp_path / "rows")
+    spark.createDataFrame(data, "s string, a string, v string, fact_id long").write.parquet(path)
+    wide = pivot.wide_rows(spark.read.parquet(path), attributes)
     plan = wide._jdf.queryExecution().executedPlan().toString()
-    joins = plan.count("Join [s#")
-    assert joins >= 5 and plan.count("Exchange hashpartitioning(s#") == joins + 1
+    assert (plan.count("FileScan"), plan.count("Exchange hashpartitioning")) == (1, 2)
+    want = {}
+    for e, a, v, k in data:
+        if e is not None:
+            row = want.setdefault(e, {})
+            if v is not None and a != "other" and row.get(a, (-1,))[0] < k:
+                row[a] = (k, v)
+    got = {r.s: {c: r[c] for c in wide.columns[1:] if r[c] is not None} for r in wide.collect()}
+    assert got == {e: {a: v for a, (_, v) in row.items()} for e, row in want.items()}
 
 
 def test_plain_text(spark):
