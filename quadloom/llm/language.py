@@ -2,7 +2,8 @@
 
 Text evidence: naive Bayes over hashed character n-grams and words, summed by line. A document's log-likelihood for a
 language sums over its lines, each taken as a mixture: mostly the document's language, rarely any other, so a foreign
-line costs little. To this come the declared label, the country prefix of the publication number, and the languages of
+line costs little. Words of a text are no independent observations, so the sum is tempered by a power of its length,
+which is fitted on held-out lines and parts of lines (Model). To this come the declared label, the country prefix of the publication number, and the languages of
 the host (applicant), smoothed towards those of its source and those towards the whole corpus. The tables of label,
 prefix, source and host against language are grouped aggregations over all documents.
 
@@ -18,12 +19,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadloom.llm.tokenizer import _BLANK, _DIGIT, _LETTER, char_classes, span_hashes
+from quadloom.llm.spans import Spelled, span_hashes
+from quadloom.llm.tokenizer import _BLANK, _DIGIT, _LETTER, char_classes
 from quadloom.session import broadcast_if_small, cut_lineage, spread
 
 LANGS = ("en", "de", "fr", "es", "it", "pt", "nl", "ru", "zh", "ja")
@@ -61,6 +62,11 @@ LEAST_GAIN = 4.0
 WIDE_LETTERS = 2.0
 #: Weight of the wider level in the smoothed priors, in documents.
 SMOOTHING = 20.0
+#: Every so many documents of the sample one is held out to temper the evidence, with at most so many of its lines and
+#: parts of lines of so many words.
+HELD_OUT, HELD_LINES, PART_WORDS = 4, 2000, (1, 2, 3, 5, 8, 13)
+#: The grid of the tempering: factor and power of the observations.
+FACTORS, POWERS = tuple(2.0**k for k in np.arange(-4, 4.5, 0.5)), (0.0, 0.2, 0.4, 0.6, 0.8, 1.0)
 #: Words that a worker remembers; beyond that it starts anew.
 REMEMBERED = 300_000
 CHUNK = 1 << 20
@@ -194,15 +200,39 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([*buckets, whole]).astype(np.int64), np.concatenate([*owners, np.arange(len(words))])
 
 
+@dataclass
+class Model:
+    """The n-gram tables, BUCKETS x languages. Evidence of n observations is divided by factor * n ** power.
+
+    `doubt` is the probability that a document is read wrongly however clear it seems: as many errors as the held-out
+    documents cannot rule out.
+    """
+
+    table: np.ndarray
+    factor: float = 1.0
+    power: float = 0.0
+    doubt: float = 0.01
+
+    def tempered(self, evidence: np.ndarray, observations: np.ndarray) -> np.ndarray:
+        return evidence / (self.factor * np.maximum(observations, 0.05) ** self.power)[:, None]
+
+    def to_bytes(self) -> bytes:
+        return np.array([self.factor, self.power, self.doubt], dtype=np.float64).tobytes() + self.table.astype(np.float32).tobytes()
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> Model:
+        return cls(np.frombuffer(data[24:], dtype=np.float32).reshape(BUCKETS, _K), *np.frombuffer(data[:24], dtype=np.float64).tolist())
+
+
 class Reader:
     """Log-likelihoods of words and lines under the n-gram tables of the languages."""
 
-    def __init__(self, table: np.ndarray) -> None:
-        self.table = table  # BUCKETS x languages
+    def __init__(self, model: Model) -> None:
+        self.model, self.table = model, model.table
+        self.spelled = Spelled(REMEMBERED)
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
         self.scores = np.zeros((0, _K), dtype=np.float32)
 
     def _score(self, words: list[str]) -> np.ndarray:
@@ -215,20 +245,13 @@ class Reader:
         """Scores of every word of a page."""
         if not len(page.word_start):
             return np.zeros((0, _K), dtype=np.float32)
-        codes, distinct = pd.factorize(span_hashes(page.cp, page.word_start, page.word_end))
-        hashes = distinct.tolist()
-        if len(self.known) + len(hashes) > REMEMBERED:
+        number, new, forgotten = self.spelled.numbers(page.cp, page.word_start, page.word_end)
+        if forgotten:
             self._forget()
-        new = [i for i, h in enumerate(hashes) if h not in self.known]
-        if new:
-            first = np.empty(len(hashes), dtype=np.int64)
-            first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-            words = [page.cp[page.word_start[k] : page.word_end[k]].tobytes().decode("utf-32-le", "replace") for k in first[new]]
+        if len(new):
+            words = [page.cp[page.word_start[k] : page.word_end[k]].tobytes().decode("utf-32-le", "replace") for k in new]
             self.scores = np.concatenate([self.scores, self._score(words)])
-            for i in new:
-                self.known[hashes[i]] = len(self.known)
-        place = np.fromiter(map(self.known.__getitem__, hashes), dtype=np.int64, count=len(hashes))
-        return self.scores[place[codes]]
+        return self.scores[number]
 
     def lines(self, page: Page, s: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Score of every line and language, and the letters of every line."""
@@ -248,40 +271,102 @@ def _table(counts: np.ndarray) -> np.ndarray:
     return (logs - logs.mean(axis=1, keepdims=True)).astype(np.float32)
 
 
-def fit(texts: list[str], codes: list[str]) -> np.ndarray:
+def _fit_table(page: Page | None, codes: list[str]) -> np.ndarray:
     """The n-gram table from labelled texts: once by their labels, then twice by the lines as read so far."""
     place = {c: i for i, c in enumerate(LANGS)}
     seed = np.zeros((BUCKETS, _K))
     for code, words in SEED_WORDS.items():
         bucket, _ = grams(words.split())
         seed[:, place[code]] += 3.0 * np.bincount(bucket, minlength=BUCKETS)
-    page = read_page(texts) if texts else None
     if page is None or not len(page.word_start):
         return _table(seed)
-    word, distinct = pd.factorize(span_hashes(page.cp, page.word_start, page.word_end))
-    first = np.empty(len(distinct), dtype=np.int64)
-    first[word[::-1]] = np.arange(len(word) - 1, -1, -1)
+    word, first, _ = Spelled(len(page.word_start)).numbers(page.cp, page.word_start, page.word_end)
     spelled = [page.cp[page.word_start[k] : page.word_end[k]].tobytes().decode("utf-32-le", "replace") for k in first]
     bucket, owner = grams(spelled)
     labelled = np.array([place[c] for c in codes])[page.line_doc]
     line_lang, counts = labelled, seed
     for _ in range(3):
         lang = line_lang[page.word_line]
-        times = np.bincount(word * (_K + 1) + np.where(lang < 0, _K, lang), minlength=len(distinct) * (_K + 1)).reshape(-1, _K + 1)[:, :_K]
+        times = np.bincount(word * (_K + 1) + np.where(lang < 0, _K, lang), minlength=len(first) * (_K + 1)).reshape(-1, _K + 1)[:, :_K]
         counts = seed.copy()
         for k in range(_K):
             counts[:, k] += np.bincount(bucket, weights=times[owner, k].astype(float), minlength=BUCKETS)
-        scores, letters = Reader(_table(counts)).lines(page)
+        scores, letters = Reader(Model(_table(counts))).lines(page)
         scores[np.arange(len(scores)), labelled] += LABEL_WEIGHT
         line_lang = np.where(letters > 0, scores.argmax(axis=1), -1)
     return _table(counts)
 
 
+def fit(texts: list[str], codes: list[str]) -> Model:
+    """The model from labelled texts. Every HELD_OUT-th text tempers the evidence and takes no part in the table."""
+    held = np.arange(len(texts)) % HELD_OUT == HELD_OUT - 1
+    pick = lambda x, due: [v for v, d in zip(x, due, strict=True) if d]
+    page = read_page(pick(texts, ~held)) if (~held).any() else None
+    model = Model(_fit_table(page, pick(codes, ~held)))
+    return temper(model, pick(texts, held), pick(codes, held)) if held.any() else model
+
+
+def temper(model: Model, texts: list[str], codes: list[str]) -> Model:
+    """`model` with factor and power of least surprise on lines of texts it was not fitted on, and on their first words.
+
+    What a text is in is read from all of it and its label. A line is in another language with probability FOREIGN, as
+    everywhere, so foreign lines do not pass for errors.
+    """
+    page = read_page(texts)
+    reader = Reader(model)
+    words = reader.words(page)
+    scores, letters = reader.lines(page, words)
+    evidence = np.zeros((len(texts), _K))
+    np.add.at(evidence, page.line_doc, _line_evidence(scores) * _observations(page, letters)[:, None])
+    evidence[np.arange(len(texts)), [LANGS.index(c) for c in codes]] += LABEL_WEIGHT
+    lines = np.flatnonzero(_wordy(page, letters) & (letters > 0))
+    # Lines in an order that does not go by text.
+    lines = lines[np.argsort((lines * 2_654_435_761) % 4_294_967_296)][:HELD_LINES]
+    if not len(lines):
+        return model
+    truth = evidence.argmax(axis=1)[page.line_doc[lines]]
+    sums = np.concatenate([np.zeros((1, _K)), np.cumsum(words, axis=0, dtype=float)])
+    sizes = np.concatenate([[0], np.cumsum(page.word_end - page.word_start)])
+    first, last = (np.searchsorted(page.word_line, lines, side=x) for x in ("left", "right"))
+    parts, seen, right = [], [], []
+    for n in (*PART_WORDS, len(words)):
+        end = np.minimum(first + n, last)
+        seen.append((sizes[end] - sizes[first]) / LETTERS_PER_OBSERVATION)
+        parts.append(_line_evidence(sums[end] - sums[first]) * seen[-1][:, None])
+        right.append(truth)
+    part, n, right = np.concatenate(parts), np.concatenate(seen), np.concatenate(right)
+    best = (np.inf, 1.0, 0.0)
+    for power in POWERS:
+        for factor in FACTORS:
+            p = np.exp(_log_softmax(Model(model.table, factor, power).tempered(part, n)))[np.arange(len(part)), right]
+            best = min(best, (-np.log((1 - FOREIGN) * p + FOREIGN / _K).sum(), factor, power))
+    return Model(model.table, best[1], best[2], 1.0 / (len(texts) + 2))
+
+
 def _log_softmax(x: np.ndarray) -> np.ndarray:
     x = x - x.max(axis=-1, keepdims=True)
     return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
 
 
+def _line_evidence(scores: np.ndarray) -> np.ndarray:
+    """Log-likelihood of each line for a document of each language, as one observation: rarely the line is foreign."""
+    return np.log((1 - FOREIGN) * np.exp(_log_softmax(scores)) + FOREIGN / _K)
+
+
+def _wordy(page: Page, letters: np.ndarray) -> np.ndarray:
+    """Lines that are mostly letters; a letter of Chinese or Japanese stands for more of a text than one of the others."""
+    wide = np.zeros(len(page.line_doc))
+    if len(page.word_start):
+        sums = np.concatenate([[0], np.cumsum(page.cp >= 0x2E80)])
+        np.add.at(wide, page.word_line, sums[page.word_end] - sums[page.word_start])
+    more = (WIDE_LETTERS - 1.0) * wide
+    return letters + more >= LETTER_SHARE * (page.line_solid + more)
+
+
+def _observations(page: Page, letters: np.ndarray) -> np.ndarray:
+    return np.where(_wordy(page, letters), letters, 0.25 * letters) / LETTERS_PER_OBSERVATION
+
+
 def _share(page: Page, s: np.ndarray, ours: np.ndarray, theirs: np.ndarray) -> np.ndarray:
     """Share of the words of each line that read as `theirs[line]` rather than as `ours[line]`.
 
@@ -303,23 +388,23 @@ def _share(page: Page, s: np.ndarray, ours: np.ndarray, theirs: np.ndarray) -> n
 
 
 def read_texts(reader: Reader, texts: list[str]) -> tuple[np.ndarray, list[list[dict]]]:
-    """Text evidence of each document (log-likelihood by language), and its lines that can be segments.
+    """Tempered text evidence of each document (log-likelihood by language), and its lines that can be segments.
 
     Lines are listed where they differ from the best language of the text alone, and all of them where that is in
-    doubt, as the other evidence may then decide otherwise.
+    doubt, as the other evidence may then decide otherwise. `odds` is the tempered log-likelihood of a line's language
+    against that of its text, or of the next best where both are the same.
     """
     page = read_page(texts)
     words = reader.words(page)
     scores, letters = reader.lines(page, words)
-    logs = _log_softmax(scores)
-    mixed = np.log((1 - FOREIGN) * np.exp(logs) + FOREIGN / _K)
-    wordy = letters >= LETTER_SHARE * page.line_solid
-    weight = np.where(wordy, letters, 0.25 * letters) / LETTERS_PER_OBSERVATION
-    evidence = np.zeros((len(texts), _K))
-    np.add.at(evidence, page.line_doc, mixed * weight[:, None])
-    evidence -= evidence.max(axis=1, keepdims=True)
+    wordy, observed = _wordy(page, letters), _observations(page, letters)
+    by_line = _line_evidence(scores)
+    evidence, total = np.zeros((len(texts), _K)), np.zeros(len(texts))
+    np.add.at(evidence, page.line_doc, by_line * observed[:, None])
+    np.add.at(total, page.line_doc, observed)
+    evidence = reader.model.tempered(evidence - evidence.max(axis=1, keepdims=True), total)
     best = evidence.argmax(axis=1)
-    sure = (np.sort(evidence, axis=1)[:, -2] < -12.0)[page.line_doc]
+    sure = (np.sort(evidence, axis=1)[:, -2] < -20.0)[page.line_doc]
     # A line's words are counted for the document's language and the best other one.
     ours = best[page.line_doc]
     others = scores.copy()
@@ -327,23 +412,25 @@ def read_texts(reader: Reader, texts: list[str]) -> tuple[np.ndarray, list[list[
     theirs = others.argmax(axis=1)
     here = np.arange(len(ours))
     gain = scores[here, theirs] - scores[here, ours]
-    lang = np.where((_share(page, words, ours, theirs) > 0.5) & (gain > LEAST_GAIN), theirs, ours)
-    confidence = np.exp(np.take_along_axis(_log_softmax(scores / 4.0), lang[:, None], axis=1))[:, 0]
+    foreign = (_share(page, words, ours, theirs) > 0.5) & (gain > LEAST_GAIN)
+    lang = np.where(foreign, theirs, ours)
+    heat = reader.model.tempered(by_line * observed[:, None], observed)
+    odds = np.where(foreign, 1.0, -1.0) * (heat[here, theirs] - heat[here, ours])
     can = (page.line_size >= SHORTEST_LINE) & wordy & (letters > 0)
     listed = np.flatnonzero(can & ((lang != ours) | ~sure))
     segments: list[list[dict]] = [[] for _ in texts]
     for i in listed:
-        segments[page.line_doc[i]].append({"para_no": int(page.line_no[i]), "lang": LANGS[lang[i]], "confidence": float(confidence[i])})
+        segments[page.line_doc[i]].append({"para_no": int(page.line_no[i]), "lang": LANGS[lang[i]], "odds": float(odds[i])})
     return evidence, segments
 
 
 _OPEN: dict[int, Reader] = {}
 
 
-def fitted_table(documents: DataFrame) -> np.ndarray:
+def fitted_model(documents: DataFrame) -> Model:
     """Fit on at most SAMPLE_DOCS labelled documents, those of least hash of their id.
 
-    The sample is read and fitted in one task on an executor; only the table comes back.
+    The sample is read and fitted in one task on an executor; only the model comes back.
     """
     code = label_code(F.col("lang")).alias("code")
     able = documents.select("doc_id", "text", code).where(F.col("code").isNotNull() & F.length("text").between(1, SAMPLE_CHARS))
@@ -357,16 +444,15 @@ def fitted_table(documents: DataFrame) -> np.ndarray:
         for b in batches:
             texts += b.column(0).to_pylist()
             codes += b.column(1).to_pylist()
-        yield pa.RecordBatch.from_arrays([pa.array([fit(texts, codes).tobytes()], pa.binary())], names=["table"])
+        yield pa.RecordBatch.from_arrays([pa.array([fit(texts, codes).to_bytes()], pa.binary())], names=["model"])
 
-    found = rows.mapInArrow(fitted, "table binary").collect()
-    data = bytes(found[0].table) if found else fit([], []).tobytes()
-    return np.frombuffer(data, dtype=np.float32).reshape(BUCKETS, _K)
+    found = rows.mapInArrow(fitted, "model binary").collect()
+    return Model.from_bytes(bytes(found[0].model)) if found else fit([], [])
 
 
-def text_evidence(documents: DataFrame, table: np.ndarray) -> DataFrame:
+def text_evidence(documents: DataFrame, model: Model) -> DataFrame:
     """(doc_id, label, host, prefix, source, evidence ARRAY<FLOAT>, segments) of every document whose text is not blank."""
-    shared = documents.sparkSession.sparkContext.broadcast(table)
+    shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = id(shared.value)
@@ -374,7 +460,7 @@ def text_evidence(documents: DataFrame, table: np.ndarray) -> DataFrame:
             _OPEN.clear()
             _OPEN[key] = Reader(shared.value)
         reader = _OPEN[key]
-        kind = pa.list_(pa.struct([("para_no", pa.int32()), ("lang", pa.string()), ("confidence", pa.float32())]))
+        kind = pa.list_(pa.struct([("para_no", pa.int32()), ("lang", pa.string()), ("odds", pa.float32())]))
         for b in batches:
             texts = b.column(b.num_columns - 1).to_pylist()
             lo = 0
@@ -399,7 +485,7 @@ def text_evidence(documents: DataFrame, table: np.ndarray) -> DataFrame:
         "text",
     ).where(F.col("text").rlike(r"[^\s 　]"))
     key = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {key}, label string, host string, prefix string, source string, evidence array<float>, segments array<struct<para_no:int,lang:string,confidence:float>>"
+    schema = f"doc_id {key}, label string, host string, prefix string, source string, evidence array<float>, segments array<struct<para_no:int,lang:string,odds:float>>"
     return spread(rows).mapInArrow(read, schema)
 
 
@@ -428,11 +514,14 @@ def _log(values: Column) -> Column:
 def document_languages(documents: DataFrame) -> DataFrame:
     """(doc_id, label, lang, confidence DOUBLE, segments): the fused language of every document whose text is not blank.
 
-    `label` is the code the delivered label names or null. `segments` are (para_no, lang, confidence) of the lines that
-    can be foreign segments, of any language. A text without any letters is read from the other evidence alone. Null,
-    empty and blank texts have no row; repeated rows have a row each.
+    `label` is the code the delivered label names or null. `text_lang` is the language by the text alone, which the
+    other evidence may outweigh where the text is short. `segments` are (para_no, lang, confidence) of the lines that
+    can be foreign segments, of any language; their confidence weighs the line against the share of foreign lines and
+    the languages of the host. A text without any letters is read from the other evidence alone. Null, empty and blank
+    texts have no row; repeated rows have a row each.
     """
-    rows = text_evidence(documents, fitted_table(documents))
+    model = fitted_model(documents)
+    rows = text_evidence(documents, model)
     rows = cut_lineage(rows.withColumn("best", F.array_position("evidence", F.array_max("evidence")).cast("int") - 1))
     every = rows.agg(F.array(*[F.sum(F.when(F.col("best") == i, 1.0).otherwise(0.0)) for i in range(_K)]).alias("all"))
     out = rows.crossJoin(F.broadcast(every))  # one row
@@ -451,7 +540,20 @@ def document_languages(documents: DataFrame) -> DataFrame:
     mass = F.aggregate("total", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
     names = F.array(*[F.lit(c) for c in LANGS])
     at = F.array_position("total", F.col("top")).cast("int")
-    return out.select("doc_id", "label", F.element_at(names, at).alias("lang"), (F.lit(1.0) / mass).alias("confidence"), "segments")
+    certain = lambda p: F.lit(1 - model.doubt) * p + model.doubt / _K
+    out = out.withColumn("lang", F.element_at(names, at))
+
+    def segment(x: Column) -> Column:
+        """A line in the text's own language has the odds of not being foreign, another one its share of the foreign lines."""
+        mine = x["lang"] == F.col("lang")
+        share = F.element_at("p_host", F.array_position(names, x["lang"]).cast("int"))
+        prior = F.when(mine, F.log(F.lit((1 - FOREIGN) / FOREIGN))).otherwise(F.log(FOREIGN / (1 - FOREIGN) * (0.5 * share + 0.5 / _K)))
+        p = F.lit(1.0) / (F.lit(1.0) + F.exp(-(x["odds"].cast("double") + prior)))
+        return F.struct(x["para_no"].alias("para_no"), x["lang"].alias("lang"), certain(p).cast("float").alias("confidence"))
+
+    return out.select(
+        "doc_id", "label", F.element_at(names, F.col("best") + 1).alias("text_lang"), "lang", certain(F.lit(1.0) / mass).alias("confidence"), F.transform("segments", segment).alias("segments")
+    )
 
 
 def language_cases(documents: DataFrame) -> DataFrame:

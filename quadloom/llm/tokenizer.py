@@ -17,12 +17,12 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
+from quadloom.llm.spans import Spelled
 from quadloom.session import spread
 
 #: Folder of the public vocabularies; set QUADLOOM_TOKENIZERS or pass a path.
@@ -142,31 +142,6 @@ def piece_starts(cp: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-
-
-@lru_cache(maxsize=4)
-def _powers(n: int, base: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-def span_hashes(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of code points, from one running sum over all of them."""
-    h = (cp.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(0x94D049BB133111EB)
-    h ^= h >> np.uint64(29)
-    room = 1 << max(16, (len(cp) + 1).bit_length())
-    sums = np.zeros(len(cp) + 1, dtype=np.uint64)
-    np.cumsum(h * _powers(room, _BASE)[: len(cp)], out=sums[1:])
-    out = (sums[ends] - sums[starts]) * _powers(room, _BASE_INVERSE)[starts]
-    out ^= out >> np.uint64(32)
-    return out + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-
-
 class Vocabulary:
     """A byte-level BPE vocabulary whose ids are the ranks of its tokens."""
 
@@ -176,11 +151,11 @@ class Vocabulary:
         self.whole = ranks
         self.bytes = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         self.pairs = PairTable(ranks)
+        self.spelled = Spelled(REMEMBERED)
         self._forget()
 
     def _forget(self) -> None:
-        """Known pieces: their hash to a place, and for each place its ids flat[at : at + size]."""
-        self.known: dict[int, int] = {}
+        """The ids of the piece with number i are flat[at[i] : at[i] + size[i]]."""
         self.flat = np.zeros(0, dtype=np.int32)
         self.at = np.zeros(0, dtype=np.int64)
         self.size = np.zeros(0, dtype=np.int64)
@@ -286,26 +261,19 @@ class Vocabulary:
         return out
 
     def _look_up(self, text: str, cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The place of each piece in `at` and `size`; new pieces are encoded."""
-        codes, distinct = pd.factorize(span_hashes(cp, starts, ends))
-        hashes = distinct.tolist()
-        if len(self.known) + len(hashes) > REMEMBERED:
+        """The number of each piece in `at` and `size`; new pieces are encoded."""
+        place, new, forgotten = self.spelled.numbers(cp, starts, ends)
+        if forgotten:
             self._forget()
-        new = [i for i, h in enumerate(hashes) if h not in self.known]
-        if new:
-            first = np.empty(len(hashes), dtype=np.int64)
-            first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-            pieces = [text[starts[first[i]] : ends[first[i]]] for i in new]
+        if len(new):
+            pieces = [text[starts[i] : ends[i]] for i in new]
             found = self.encode_pieces(pieces)
             rows = [found[p] for p in pieces]
             size = np.array([len(r) for r in rows], dtype=np.int64)
             self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(size) - size])
             self.size = np.concatenate([self.size, size])
             self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(rows), dtype=np.int32)])
-            for i in new:
-                self.known[hashes[i]] = len(self.known)
-        place = np.fromiter(map(self.known.__getitem__, hashes), dtype=np.int64, count=len(hashes))
-        return place[codes]
+        return place
 
     def _places(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The place of every piece, and the number of pieces before each text and at the end."""

@@ -61,7 +61,9 @@ def test_cases_are_found(spark):
     assert not {x[0] for x in got} & {900, 901, 902, 904}
     assert len(real & truth) / len(truth) > 0.98 and len(real & truth) / len(real) > 0.98, (real - truth, truth - real)
     docs = L.document_languages(df).collect()
-    assert all(0 < r.confidence <= 1 for r in docs) and len(docs) == len(data) - 4
+    assert all(0 < r.confidence < 1 for r in docs) and len(docs) == len(data) - 4
+    lines = [x.confidence for r in docs for x in r.segments if x.lang != r.lang]
+    assert lines and all(0 < x < 1 for x in lines)
     assert L.language_cases(df.limit(0)).collect() == []
 
 
@@ -81,6 +83,35 @@ def test_held_out_lines():
     assert np.mean([L.LANGS[i] == c for i, c in zip(evidence.argmax(axis=1), codes[150:], strict=True)]) > 0.98
 
 
+def test_confidence_is_tempered_on_held_out_lines():
+    random.seed(7)
+    codes = [random.choice(["en", "de", "nl", "fr", "es"]) for _ in range(600)]
+    model = L.fit([sentence(c) for c in codes[:400]], codes[:400])
+    assert model.doubt == 1 / 102
+    # One or two words, of which many languages have some: wrong readings must not look certain.
+    texts = [" ".join(random.choice(WORDS[c]) for _ in range(random.randint(1, 2))) for c in codes[400:]]
+    evidence, _ = L.read_texts(L.Reader(model), texts)
+    p = np.exp(L._log_softmax(evidence))
+    right = np.array([L.LANGS[i] == c for i, c in zip(p.argmax(axis=1), codes[400:], strict=True)])
+    top = p.max(axis=1)
+    assert 0.5 < right.mean() < 1 and top.min() < 0.8 and abs(top.mean() - right.mean()) < 0.15
+    assert top[right].mean() > top[~right].mean()
+
+
+def test_priors_decide_short_texts(spark):
+    data, _ = corpus(160)
+    # "in" and "is" are words of more than one language.
+    data += [(800 + i, text, label, "web", f"{c}X", None, None) for i, (text, label, c) in enumerate([("in", "de", "D"), ("in", "en", "E"), ("is", "nl", "N"), ("is", "en", "E")])]
+    got = {r.doc_id: r.lang for r in L.document_languages(spark.createDataFrame(data, SCHEMA)).where("doc_id >= 800").collect()}
+    assert got == {800: "de", 801: "en", 802: "nl", 803: "en"}
+
+
+def test_formula_behind_a_wide_line(spark):
+    page = L.read_page(["泵与阀门相连接并在范围内移动 F = d · 48 / 72 + 0,33 (84)", "F = d · P48 / (72 T + 0,33 … (Eq. 84)"])
+    _, letters = L.Reader(L.fit([], [])).lines(page)
+    assert L._wordy(page, letters).tolist() == [True, False]
+
+
 def test_seed_words_alone_know_the_languages():
     reader = L.Reader(L.fit([], []))
     for code in ("en", "de", "fr", "nl", "ru", "zh", "ja"):

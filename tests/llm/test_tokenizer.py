@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from quadloom.llm import tokenizer as T
+from quadloom.llm.spans import Spelled, span_hashes
 
 PATH = T.vocabulary_path("byte_bpe_50k")
 pytestmark = pytest.mark.skipif(not os.path.exists(PATH), reason="no vocabulary here")
@@ -59,9 +60,52 @@ def test_matrix_and_heap_agree(vocabulary):
 def test_forgetting_changes_nothing(vocabulary, monkeypatch):
     monkeypatch.setattr(T, "REMEMBERED", 5)
     texts = [f"word{i} other{i}" for i in range(50)]
-    want = ids(T.Vocabulary(vocabulary.whole), texts)
+    forgetful = T.Vocabulary(vocabulary.whole)
+    want = ids(forgetful, texts)
     again = [ids(vocabulary, [t])[0] for t in texts]
-    assert again == want
+    assert again == want == [ids(forgetful, [t])[0] for t in texts]
+
+
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_pieces_of_one_hash_keep_their_own_ids(vocabulary, library, n):
+    word = thue_morse(n)
+    other = word.translate(str.maketrans("ab", "ba"))
+    cp = np.frombuffer((word + other).encode("utf-32-le"), dtype=np.uint32)
+    hashes = span_hashes(cp, np.array([0, n]), np.array([n, 2 * n]))
+    assert hashes[0] == hashes[1] and word != other
+    want = [library.encode_ordinary(t) for t in (word, other)]
+    assert want[0] != want[1]
+    for texts in ([word, other, word], [other, word, other], [word + " x " + other, "y", other]):
+        fresh = T.Vocabulary(vocabulary.whole)
+        for _ in range(2):
+            assert ids(fresh, texts) == [library.encode_ordinary(t) for t in texts]
+        assert [ids(fresh, [t])[0] for t in (other, word)] == [want[1], want[0]]
+
+
+def test_spelled_spans(monkeypatch):
+    from quadloom.llm import spans
+
+    random.seed(3)
+    # Hashes of three values only: the code points alone decide.
+    monkeypatch.setattr(spans, "span_hashes", lambda cp, starts, ends: ((ends - starts) % 3).astype(np.uint64))
+    table, numbers = Spelled(60), {}
+    for _ in range(60):
+        words = ["".join(random.choice("ab漢") for _ in range(random.randint(1, 5))) for _ in range(random.randint(1, 12))]
+        gap = random.choice(["", "-"])
+        text = gap.join(words)
+        ends = np.cumsum([len(w) + len(gap) for w in words]) - len(gap)
+        starts = ends - np.array([len(w) for w in words])
+        got, new, forgotten = table.numbers(np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32), starts, ends)
+        if forgotten:
+            numbers.clear()
+        for i in new:
+            assert words[i] not in numbers
+            numbers[words[i]] = len(numbers)
+        assert got.tolist() == [numbers[w] for w in words]
 
 
 def test_pair_table(vocabulary):
