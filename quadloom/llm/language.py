@@ -66,7 +66,7 @@ SMOOTHING = 20.0
 #: parts of lines of so many words.
 HELD_OUT, HELD_LINES, PART_WORDS = 4, 2000, (1, 2, 3, 5, 8, 13)
 #: The grid of the tempering: factor and power of the observations.
-FACTORS, POWERS = tuple(2.0**k for k in np.arange(-4, 4.5, 0.5)), (0.0, 0.2, 0.4, 0.6, 0.8, 1.0)
+FACTORS, POWERS = tuple(2.0**k for k in np.arange(-4, 4.5, 0.5)), (0.0, 0.2, 0.4, 0.6, 0.8)
 #: Words that a worker remembers; beyond that it starts anew.
 REMEMBERED = 300_000
 CHUNK = 1 << 20
