@@ -29,7 +29,8 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return good_lines(table(spark, sf_dir, "raw_lines"))
+    """The good lines, objects as one text: they hold no comma."""
+    return good_lines(table(spark, sf_dir, "raw_lines")).withColumn("objects", F.when(F.col("objects").isNotNull(), F.concat_ws(",", "objects")))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +72,57 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _DAY = "'[0-9]{4}-[0-9]{2}-[0-9]{2}'"
 
+#: Lines with their terms or fields, and the reason why they are bad.
+_LINES = r"""
+        with l as (
+          select line_id, file_no, trim(line_text, e' \t') as x from raw_lines where line_text is not null),
+        m as (
+          select line_id, file_no, x, regexp_replace(x, '<[^<>]*>|"(?:[^"\\]|\\.)*"(?:@[A-Za-z]+(?:-[A-Za-z0-9]+)*|\^\^<[^<>]*>)?', chr(1), 'g') as rest,
+                 regexp_extract_all(x, '<[^<>]*>|"(?:[^"\\]|\\.)*"(?:@[A-Za-z]+(?:-[A-Za-z0-9]+)*|\^\^<[^<>]*>)?') as terms,
+                 length(regexp_replace(regexp_replace(x, '\\.', '', 'g'), '[^"]', '', 'g')) % 2 = 1 as odd
+          from l where x <> '' and x not like '#%'),
+        t as (
+          select line_id, file_no, terms, case
+              when odd or regexp_matches(regexp_replace(rest, '[\x01 \t.]', '', 'g'), '[<>"{}\\]') then 'quoting'
+              when not regexp_full_match(rest, '[ \t]*(?:\x01[ \t]*){3,4}\.?[ \t]*') then 'columns'
+              when terms[1] like '"%' or terms[2] like '"%' or len(list_filter(terms, lambda y: regexp_full_match(y, '<[ \t]*>'))) > 0 then 'value'
+              when len(terms) = 4 and not (terms[4] in ('<no>', '<null>') or (regexp_full_match(terms[4], '<[0-9]{4}-[0-9]{2}-[0-9]{2}>')
+                   and try_cast(trim(terms[4], '<>') as date) is not null)) then 'value'
+              when terms[3] like '%"^^<%' and not coalesce(case regexp_extract(terms[3], '\^\^<([^<>]*)>$', 1)
+                  when 'xsd:integer' then regexp_full_match(v, '[+-]?[0-9]+')
+                  when 'xsd:decimal' then regexp_full_match(v, '[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)')
+                  when 'xsd:date' then regexp_full_match(v, '[0-9]{4}-[0-9]{2}-[0-9]{2}') and try_cast(v as date) is not null
+                  when 'xsd:boolean' then v in ('true', 'false', '1', '0') else false end, false) then 'value' end as reason
+          from (select *, regexp_extract(terms[3], '^"(.*)"\^\^', 1) as v from m where x not like '{%')),
+        h as (
+          select line_id, file_no, x, string_split(regexp_extract(x, '^\{([^{}]*),[ \t]*\{', 1), ',') as f, regexp_extract(x, '\{[ \t]*([^{}]*)\}[ \t]*\}', 1) as objects
+          from m where x like '{%'),
+        g as (
+          select line_id, file_no, f, objects, case
+              when length(regexp_replace(x, '[^{]', '', 'g')) <> length(regexp_replace(x, '[^}]', '', 'g')) then 'quoting'
+              when not regexp_full_match(x, '\{[^{}]*,[ \t]*\{[ \t]*[^{} \t][^{}]*\}[ \t]*\}[ \t]*\.?') or len(f) <> 4 then 'columns'
+              when trim(f[1], e' \t') = '' or trim(f[2], e' \t') = '' or len(list_filter(string_split(objects, ','), lambda y: trim(y, e' \t') = '')) > 0
+                   or len(list_filter([trim(f[3], e' \t'), trim(f[4], e' \t')], lambda y: not (y in ('no', 'null')
+                        or (regexp_full_match(y, '[0-9]{4}-[0-9]{2}-[0-9]{2}') and try_cast(y as date) is not null)))) > 0 then 'value' end as reason
+          from h)"""
+_GOOD = _LINES + r""",
+        good as (
+          select line_id, file_no, 'triple' as kind, terms[1][2:-2] as s, terms[2][2:-2] as p,
+                 case when terms[3] like '<%' then terms[3][2:-2] else regexp_replace(regexp_extract(terms[3], '^"((?:[^"\\]|\\.)*)"', 1), '\\(.)', '\1', 'g') end as o,
+                 case when terms[3] like '<%' then 'term' else 'literal' end as o_kind,
+                 case when terms[3] like '"%' then nullif(regexp_extract(terms[3], '^"(?:[^"\\]|\\.)*"@(.*)$', 1), '') end as lang,
+                 case when terms[3] like '"%' then nullif(regexp_extract(terms[3], '^"(?:[^"\\]|\\.)*"\^\^<xsd:(.*)>$', 1), '') end as type,
+                 coalesce(terms[4][2:-2], 'no') as t, cast(null as varchar) as t_end, cast(null as varchar) as objects
+          from t where reason is null
+          union all
+          select line_id, file_no, 'hyper', trim(f[2], e' \t'), trim(f[1], e' \t'), null, null, null, null, trim(f[3], e' \t'), trim(f[4], e' \t'),
+                 array_to_string(list_transform(string_split(objects, ','), lambda y: trim(y, e' \t')), ',')
+          from g where reason is null)"""
+
 ORACLES: dict[str, str] = {
+    "p3_found": _LINES + " select line_id, reason from t where reason is not null union all select line_id, reason from g where reason is not null",
+    "p3_loaded": _GOOD + " select * from good",
+    "lines_loaded": _GOOD + " select s, p, o, t from good where kind = 'triple'",
     "p1_found": f"""
         with r as (
           select distinct hid, cast(try_strptime(stime, '%Y-%m-%d') as date) a,
@@ -117,39 +168,6 @@ ORACLES: dict[str, str] = {
                arg_max_null(o, (mt, log_count, page_no)) filter (op = 'I' or (op = 'U' and o is not null)) as last_o,
                arg_max_null(t, (mt, log_count, page_no)) filter (op = 'I' or (op = 'U' and t is not null)) as last_t
         from c group by pid, s""",
-    "p3_found": r"""
-        with l as (
-          select line_id, trim(line_text, e' \t') as x from raw_lines where line_text is not null),
-        m as (
-          select line_id, x, regexp_replace(x, '<[^<>]*>|"(?:[^"\\]|\\.)*"(?:@[A-Za-z]+(?:-[A-Za-z0-9]+)*|\^\^<[^<>]*>)?', chr(1), 'g') as rest,
-                 regexp_extract_all(x, '<[^<>]*>|"(?:[^"\\]|\\.)*"(?:@[A-Za-z]+(?:-[A-Za-z0-9]+)*|\^\^<[^<>]*>)?') as terms,
-                 length(regexp_replace(regexp_replace(x, '\\.', '', 'g'), '[^"]', '', 'g')) % 2 = 1 as odd
-          from l where x <> '' and x not like '#%'),
-        t as (
-          select line_id, case
-              when odd or regexp_matches(regexp_replace(rest, '[\x01 \t.]', '', 'g'), '[<>"{}\\]') then 'quoting'
-              when not regexp_full_match(rest, '[ \t]*(?:\x01[ \t]*){3,4}\.?[ \t]*') then 'columns'
-              when terms[1] like '"%' or terms[2] like '"%' or len(list_filter(terms, lambda y: regexp_full_match(y, '<[ \t]*>'))) > 0 then 'value'
-              when len(terms) = 4 and not (terms[4] in ('<no>', '<null>') or (regexp_full_match(terms[4], '<[0-9]{4}-[0-9]{2}-[0-9]{2}>')
-                   and try_cast(trim(terms[4], '<>') as date) is not null)) then 'value'
-              when terms[3] like '%"^^<%' and not coalesce(case regexp_extract(terms[3], '\^\^<([^<>]*)>$', 1)
-                  when 'xsd:integer' then regexp_full_match(v, '[+-]?[0-9]+')
-                  when 'xsd:decimal' then regexp_full_match(v, '[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)')
-                  when 'xsd:date' then regexp_full_match(v, '[0-9]{4}-[0-9]{2}-[0-9]{2}') and try_cast(v as date) is not null
-                  when 'xsd:boolean' then v in ('true', 'false', '1', '0') else false end, false) then 'value' end as reason
-          from (select *, regexp_extract(terms[3], '^"(.*)"\^\^', 1) as v from m where x not like '{%')),
-        h as (
-          select line_id, x, string_split(regexp_extract(x, '^\{([^{}]*),[ \t]*\{', 1), ',') as f, regexp_extract(x, '\{[ \t]*([^{}]*)\}[ \t]*\}', 1) as objects
-          from m where x like '{%'),
-        g as (
-          select line_id, case
-              when length(regexp_replace(x, '[^{]', '', 'g')) <> length(regexp_replace(x, '[^}]', '', 'g')) then 'quoting'
-              when not regexp_full_match(x, '\{[^{}]*,[ \t]*\{[ \t]*[^{} \t][^{}]*\}[ \t]*\}[ \t]*\.?') or len(f) <> 4 then 'columns'
-              when trim(f[1], e' \t') = '' or trim(f[2], e' \t') = '' or len(list_filter(string_split(objects, ','), lambda y: trim(y, e' \t') = '')) > 0
-                   or len(list_filter([trim(f[3], e' \t'), trim(f[4], e' \t')], lambda y: not (y in ('no', 'null')
-                        or (regexp_full_match(y, '[0-9]{4}-[0-9]{2}-[0-9]{2}') and try_cast(y as date) is not null)))) > 0 then 'value' end as reason
-          from h)
-        select line_id, reason from t where reason is not null union all select line_id, reason from g where reason is not null""",
 }
 
 #: Facts of single-valued attributes with the plain text of their value; digits are those of ASCII and full width.

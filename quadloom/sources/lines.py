@@ -66,10 +66,11 @@ def read_lines(lines: DataFrame, text: str = "line_text") -> DataFrame:
     fit have a null kind and their text in `corrupt`. Columns of other names are kept, so `lines` may have any except
     rec and corrupt.
     """
-    raw = F.col(text)
-    head = F.substring(F.ltrim(F.translate(raw, "\t", " ")), 1, 1)
-    silent = raw.isNull() | ~_filled(raw) | (head == "#")
-    df = lines.withColumn("_t", F.when(~silent & (head != "{"), _fields(raw, _TRIPLE, 7))).withColumn("_h", F.when(~silent & (head == "{"), _fields(raw, _HYPER, 5)))
+    raw, head = F.col(text), F.col("_head")
+    # The first character that is no blank, of which an empty text has none.
+    df = lines.withColumn("_head", F.substring(F.ltrim(F.translate(raw, "\t", " ")), 1, 1))
+    carries = ~head.isin("", "#")
+    df = df.withColumn("_t", F.when(carries & (head != "{"), _fields(raw, _TRIPLE, 7))).withColumn("_h", F.when(head == "{", _fields(raw, _HYPER, 5)))
     t, h = F.col("_t"), F.col("_h")
     s, p, iri, lit, lang, kind, time = (t[i] for i in range(1, 8))
     o = F.when(iri != "", _inner(iri)).otherwise(_inner(lit))
@@ -102,8 +103,11 @@ def read_lines(lines: DataFrame, text: str = "line_text") -> DataFrame:
         F.lit("hyper").alias("kind"), hs.alias("s"), hp.alias("p"), none.alias("o"), none.alias("o_kind"), none.alias("lang"),
         none.alias("type"), start.alias("t"), end.alias("t_end"), objects.alias("objects"),
     )
-    rec = F.when(F.coalesce(good_triple, F.lit(False)), triple).when(F.coalesce(good_hyper, F.lit(False)), hyper)
-    return df.withColumn("rec", rec).withColumn("corrupt", F.when(~silent & F.col("rec").isNull(), raw)).drop("_t", "_h")
+    # What is good is told before anything is built, so that a reader of the bad lines alone builds nothing.
+    df = df.withColumn("_good", F.when(F.coalesce(good_triple, F.lit(False)), 1).when(F.coalesce(good_hyper, F.lit(False)), 2).otherwise(0))
+    good = F.col("_good")
+    df = df.withColumn("rec", F.when(good == 1, triple).when(good == 2, hyper).cast(f"struct<{FIELDS}>")).withColumn("corrupt", F.when(carries & (good == 0), raw))
+    return df.drop("_head", "_t", "_h", "_good")
 
 
 def _times(text: Column, mark: str) -> Column:
