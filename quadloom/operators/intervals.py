@@ -1,13 +1,15 @@
 """Coverage of integer intervals per entity by canonical dyadic blocks.
 
 A block (level, index) stands for the points index * 2**level .. (index + 1) * 2**level - 1. Every interval is the
-disjoint union of at most 2 * BITS blocks, whatever its length, and the union of an entity's intervals is the union of
-their blocks. Distinct blocks of one entity number at most 2**(BITS + 1), however many rows it has: duplicates vanish in
+disjoint union of at most 2 * bits blocks, whatever its length, and the union of an entity's intervals is the union of
+their blocks. Blocks below level WORD_BITS that lie in one block of that level, a word, are held together as a bit mask
+of their points: there a union of sets of blocks is a union of bits, which drops what is covered and merges siblings at
+once. Distinct blocks of one entity number less than 2**(bits - WORD_BITS + 1), however many rows it has: they meet in
 the map-side combine, so an entity that holds a third of all rows reaches the later stages already reduced.
 
-Stages: blocks below TILE_BITS are reduced within (entity, tile), where a group has fewer than 2**(TILE_BITS + 1)
-blocks; what is left is lifted to the upper levels and reduced within the entity. Both stages do the same three steps:
-drop blocks that an ancestor covers, merge sibling pairs level by level, coalesce blocks that touch.
+Stages: blocks below TILE_BITS are reduced within (entity, tile), where a group has fewer than 2**(TILE_BITS -
+WORD_BITS + 1) of them; what is left is lifted to the upper levels and reduced within the entity. Both stages do the
+same three steps: drop blocks that an ancestor covers, merge sibling pairs level by level, coalesce blocks that touch.
 """
 
 from __future__ import annotations
@@ -20,8 +22,10 @@ from pyspark.sql import functions as F
 
 #: The domain is 0 .. 2**BITS - 1.
 BITS = 22
+#: Level of the blocks whose points are the bits of a BIGINT.
+WORD_BITS = 6
 #: Blocks below this level are reduced inside tiles of 2**TILE_BITS points.
-TILE_BITS = 11
+TILE_BITS = 12
 #: Levels of the block tree that one aggregation merges.
 LEVELS_AT_ONCE = 3
 #: The last point of the domain, standing for an open end.
@@ -29,25 +33,40 @@ OPEN = (1 << BITS) - 1
 
 
 def dyadic_blocks(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """(keep, level INT, idx BIGINT): the canonical blocks of each row's lo..hi (both included, lo <= hi).
+    """(keep, level INT, idx BIGINT, mask BIGINT): the canonical blocks of each row's lo..hi (both included, lo <= hi).
 
     At level l the part not yet covered runs from ceil(lo / 2**l) to floor((hi + 1) / 2**l), and a block is due at its
-    left end if that is odd and at its right end if that is odd. Every row meets each level up to that of its length
-    twice, once for either end; plain columns keep this inside generated code.
+    left end if that is odd and at its right end if that is odd. From WORD_BITS up, every row meets each level up to that
+    of its length twice, once for either end. The blocks below are those of the first and the last word, one row of
+    level WORD_BITS each whose mask is their points; all other rows have a full mask. Plain columns keep this inside
+    generated code.
     """
-    levels = F.floor(F.log2(F.col("hi") - F.col("lo") + 1)).cast("int")
-    a, e = F.expr("shiftright(lo + shiftleft(1L, level) - 1, level)"), F.expr("shiftright(hi + 1, level)")
-    return (
-        rows.select(*keep, "lo", "hi", F.explode(F.sequence(F.lit(0), levels * 2 + 1)).alias("_c"))
-        .select(*keep, "lo", "hi", F.expr("shiftright(_c, 1)").alias("level"), (F.col("_c") % 2).alias("_side"))
-        .select(*keep, "level", "_side", a.alias("_a"), e.alias("_e"))
-        .where((F.col("_a") < F.col("_e")) & (F.when(F.col("_side") == 0, F.col("_a")).otherwise(F.col("_e")) % 2 == 1))
-        .select(*keep, "level", F.when(F.col("_side") == 0, F.col("_a")).otherwise(F.col("_e") - 1).alias("idx"))
+    w, full = WORD_BITS, (1 << WORD_BITS) - 1
+    begin, end = F.expr(f"shiftright(lo + {full}, {w})"), F.expr(f"shiftright(hi + 1, {w})")
+    words = rows.select(*keep, "lo", "hi", begin.alias("_b"), end.alias("_n"))
+    steps = F.when(F.col("_b") < F.col("_n"), F.length(F.bin(F.col("_n") - F.col("_b"))) * 2 - 1).otherwise(-1)
+    side = words.select(*keep, "lo", "hi", "_b", "_n", F.explode(F.sequence(F.lit(-2), steps)).alias("_c"))
+    side = side.select(*keep, "lo", "hi", "_b", "_n", "_c", F.expr("greatest(shiftright(_c, 1), 0)").alias("_l"))
+    at = side.select(*keep, "lo", "hi", "_c", "_l", F.expr("shiftright(_b + shiftleft(1L, _l) - 1, _l)").alias("_a"), F.expr("shiftright(_n, _l)").alias("_e"))
+    left, right, alone = F.expr(f"lo & {full}"), F.expr(f"hi & {full}"), F.expr(f"shiftright(lo, {w}) = shiftright(hi, {w})")
+    due = (
+        F.when(F.col("_c") == -2, (left != 0) | (alone & (right != full)))
+        .when(F.col("_c") == -1, ~alone & (right != full))
+        .otherwise((F.col("_a") < F.col("_e")) & (F.when(F.col("_c") % 2 == 0, F.col("_a")).otherwise(F.col("_e")) % 2 == 1))
+    )
+    from_left, to_right = F.expr(f"shiftleft(-1L, cast(lo & {full} as int))"), F.expr(f"shiftrightunsigned(-1L, cast({full} - (hi & {full}) as int))")
+    idx = (
+        F.when(F.col("_c") == -2, F.expr(f"shiftright(lo, {w})"))
+        .when(F.col("_c") == -1, F.expr(f"shiftright(hi, {w})"))
+        .when(F.col("_c") % 2 == 0, F.col("_a"))
+        .otherwise(F.col("_e") - 1)
     )
+    mask = F.when(F.col("_c") == -2, F.when(alone, from_left.bitwiseAND(to_right)).otherwise(from_left)).when(F.col("_c") == -1, to_right).otherwise(F.lit(-1).cast("bigint"))
+    return at.where(due).select(*keep, (F.col("_l") + w).alias("level"), idx.alias("idx"), mask.alias("mask"))
 
 
 def _uncovered(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Drop the blocks that lie in a larger block of the same group.
+    """Drop the blocks and words that lie in a larger block of the same group.
 
     Blocks nest or are disjoint, so in the order of their start, larger first, a block is covered exactly if some
     block before it ends beyond its start.
@@ -83,31 +102,47 @@ def _span_below(level: int, top: int) -> Callable[[Column], Column]:
 def _merge_siblings(df: DataFrame, keys: list[str], low: int, high: int) -> DataFrame:
     """Replace pairs of sibling blocks by their parent, from level `low` up to `high`; other rows pass unchanged.
 
-    LEVELS_AT_ONCE levels are merged in one aggregation: the blocks below one ancestor are marked as bits of its leaves,
+    Rows with a mask that is not full are no blocks. LEVELS_AT_ONCE levels are merged in one aggregation: the blocks below one ancestor are marked as bits of its leaves,
     and the merged blocks of the marked set are looked up. Grouping by a superset of the keys that the rows are already
     partitioned by needs no exchange. No block may be covered by another (see _uncovered).
     """
-    out = df
+    out, masked = df, "mask" in df.columns
     for level in range(low, high, LEVELS_AT_ONCE):
         levels = min(LEVELS_AT_ONCE, high - level)
         top = level + levels
         size = F.col("last") - F.col("first") + 1
         block = (size >= 1 << level) & (size < 1 << top) & (size.bitwiseAND(size - 1) == 0) & (F.col("first") % size == 0)
+        if masked:
+            block &= F.col("mask") == -1
         place = F.expr(f"cast(shiftright(first, {level}) & {(1 << levels) - 1} as int)")
         bits = F.expr(f"cast(shiftleft(1L, cast(shiftright(last - first + 1, {level}) as int)) - 1 as int)")
-        mask = F.when(block, F.call_function("shiftleft", bits, place)).otherwise(0)
+        leaves = F.when(block, F.call_function("shiftleft", bits, place)).otherwise(0)
+        kept = [F.bit_and("mask").alias("mask")] if masked else []
         table = F.from_json(F.lit(_canonical(levels)), "array<array<struct<o:bigint,n:bigint>>>")
         grouped = out.groupBy(*keys, F.when(block, F.expr(f"shiftright(first, {top})")).otherwise(-1 - F.col("first")).alias("_at")).agg(
-            F.bit_or(mask).alias("_mask"), F.min("first").alias("first"), F.max("last").alias("last")
+            F.bit_or(leaves).alias("_mask"), F.min("first").alias("first"), F.max("last").alias("last"), *kept
         )
         whole = F.array(F.struct(F.col("first").alias("o"), F.col("last").alias("n")))
         spans = F.transform(F.element_at(table, F.col("_mask") + 1), _span_below(level, top))
         # A full set is its ancestor and a single block itself; only the rest is looked up.
         simple = (F.col("_at") < 0) | (F.col("_mask") == (1 << (1 << levels)) - 1) | (F.bit_count("_mask") == 1)
-        out = grouped.select(*keys, F.explode(F.when(simple, whole).otherwise(spans)).alias("_x")).select(*keys, F.col("_x.o").alias("first"), F.col("_x.n").alias("last"))
+        names = [*keys, "mask"] if masked else keys
+        out = grouped.select(*names, F.explode(F.when(simple, whole).otherwise(spans)).alias("_x")).select(*names, F.col("_x.o").alias("first"), F.col("_x.n").alias("last"))
     return out
 
 
+def _runs_of_words(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, first, last): blocks as they are, and the runs of set bits of words. A word of one run needs no search."""
+    starts, ends = F.expr("mask & ~shiftleft(mask, 1)"), F.expr("mask & ~shiftrightunsigned(mask, 1)")
+    df = df.select(*keys, "first", "last", "mask", starts.alias("_s"), ends.alias("_e"))
+    only = lambda c: f"first + length(bin({c})) - 1"
+    places = lambda c: f"filter(sequence(0, {(1 << WORD_BITS) - 1}), i -> getbit({c}, i) = 1)"
+    runs = F.expr(f"""case when mask = -1 then array(struct(first as o, last as n))
+        when bit_count(_s) = 1 then array(struct({only("_s")} as o, {only("_e")} as n))
+        else zip_with({places("_s")}, {places("_e")}, (a, b) -> struct(first + a as o, first + b as n)) end""")
+    return df.select(*keys, F.explode(runs).alias("_x")).select(*keys, F.col("_x.o").alias("first"), F.col("_x.n").alias("last"))
+
+
 def _coalesce(df: DataFrame, keys: list[str]) -> DataFrame:
     """Join spans that touch or overlap into the longest runs of each group."""
     w = Window.partitionBy(*keys).orderBy("first", "last")
@@ -122,27 +157,38 @@ def _coalesce(df: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def covered_runs(df: DataFrame, key: str, lo: str, hi: str) -> DataFrame:
+def covered_runs(df: DataFrame, key: str, lo: str, hi: str, bits: int | None = BITS) -> DataFrame:
     """(key, first BIGINT, last BIGINT): the longest runs of covered points of each key.
 
-    Rows with a null key, null bounds, lo > hi or bounds outside 0 .. 2**BITS - 1 count for nothing. Intervals that
-    meet on consecutive points form one run. Other columns of `df` are ignored, whatever their names.
+    Rows with a null key, null bounds or lo > hi count for nothing. Intervals that meet on consecutive points form one
+    run. Bounds outside 0 .. 2**bits - 1 are an error; with `bits` null the domain is measured first, negative points
+    included. Other columns of `df` are ignored, whatever their names.
     """
-    rows = df.select(F.col(key).alias("key"), F.col(lo).cast("bigint").alias("lo"), F.col(hi).cast("bigint").alias("hi")).where(
-        F.col("key").isNotNull() & (F.col("lo") <= F.col("hi")) & (F.col("lo") >= 0) & (F.col("hi") <= OPEN)
-    )
+    rows = df.select(F.col(key).alias("key"), F.col(lo).cast("bigint").alias("lo"), F.col(hi).cast("bigint").alias("hi"))
+    rows = rows.where(F.col("key").isNotNull() & (F.col("lo") <= F.col("hi")))
+    origin = 0
+    if bits is None:
+        low, high = rows.agg(F.min("lo"), F.max("hi")).first()
+        origin, bits = low or 0, max(((high or 0) - (low or 0)).bit_length(), TILE_BITS + 1)
+        rows = rows.select("key", (F.col("lo") - origin).alias("lo"), (F.col("hi") - origin).alias("hi"))
+    else:
+        outside = (F.col("lo") < 0) | (F.col("hi") > (1 << bits) - 1)
+        error = F.raise_error(F.format_string(f"%s..%s is outside of 0..2**{bits} - 1", "lo", "hi")).cast("bigint")
+        rows = rows.select("key", F.when(outside, error).otherwise(F.col("lo")).alias("lo"), "hi")
     blocks = (
-        dyadic_blocks(rows.dropDuplicates(), ["key"])
-        .dropDuplicates()
-        .select("key", F.expr("shiftleft(idx, level)").alias("first"), F.expr("shiftleft(idx + 1, level) - 1").alias("last"))
+        dyadic_blocks(rows, ["key"])
+        .groupBy("key", "level", "idx")
+        .agg(F.bit_or("mask").alias("mask"))
+        .select("key", F.expr("shiftleft(idx, level)").alias("first"), F.expr("shiftleft(idx + 1, level) - 1").alias("last"), "mask")
     )
     # Below TILE_BITS within the tile; a larger block goes with the tile it begins in, and covers all of it.
     in_tile = ["key", "tile"]
     tiles = _uncovered(blocks.withColumn("tile", F.expr(f"shiftright(first, {TILE_BITS})")), in_tile)
-    runs = _coalesce(_merge_siblings(tiles, in_tile, 0, TILE_BITS), in_tile).drop("tile")
+    runs = _coalesce(_runs_of_words(_merge_siblings(tiles, in_tile, WORD_BITS, TILE_BITS), in_tile), in_tile).drop("tile")
     # A run that fills its tile is a block of level TILE_BITS; from there on within the key.
-    upper = _merge_siblings(_uncovered(runs, ["key"]), ["key"], TILE_BITS, BITS)
-    return _coalesce(upper, ["key"]).withColumnRenamed("key", key)
+    upper = _merge_siblings(_uncovered(runs, ["key"]), ["key"], TILE_BITS, bits)
+    out = _coalesce(upper, ["key"])
+    return out.select(F.col("key").alias(key), *[(F.col(c) + origin).alias(c) if origin else F.col(c) for c in ("first", "last")])
 
 
 def runs_and_gaps(runs: DataFrame, key: str) -> DataFrame:

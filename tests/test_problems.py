@@ -23,14 +23,44 @@ def app(spark, data):
 
 def test_dyadic_blocks_cover_exactly(spark):
     random.seed(1)
-    data = [(i, a, a + random.randint(0, 5000)) for i, a in enumerate(random.randint(0, 40000) for _ in range(40))]
-    data += [(98, 0, intervals.OPEN), (99, intervals.OPEN, intervals.OPEN)]
+    data = [(i, a, a + random.randint(0, random.choice([3, 70, 5000]))) for i, a in enumerate(random.randint(0, 40000) for _ in range(60))]
+    data += [(95, 64, 127), (96, 63, 64), (97, 128, 64 * 7 - 1), (98, 0, intervals.OPEN), (99, intervals.OPEN, intervals.OPEN)]
     blocks = intervals.dyadic_blocks(spark.createDataFrame(data, "i int, lo long, hi long"), ["i"]).collect()
     for i, lo, hi in data:
-        spans = sorted((b.idx << b.level, ((b.idx + 1) << b.level) - 1) for b in blocks if b.i == i)
-        assert spans[0][0] == lo and spans[-1][1] == hi
+        spans, partial = [], 0
+        for b in (b for b in blocks if b.i == i):
+            first = b.idx << b.level
+            if b.mask == -1:
+                spans.append((first, ((b.idx + 1) << b.level) - 1))
+            else:
+                assert b.level == intervals.WORD_BITS
+                partial += 1
+                spans += [(first + k, first + k) for k in range(64) if b.mask >> k & 1]
+        spans.sort()
+        assert spans[0][0] == lo and spans[-1][1] == hi and partial <= 2
         assert all(x[1] + 1 == y[0] for x, y in zip(spans, spans[1:], strict=False))
-        assert len(spans) <= 2 * intervals.BITS
+        whole = [x for x in spans if x[1] > x[0]]
+        assert len(whole) <= 2 * intervals.BITS and all(((n := b - a + 1) & (n - 1)) == 0 and a % n == 0 for a, b in whole)
+
+
+def test_runs_of_any_integers(spark):
+    random.seed(11)
+    data = []
+    for key, low, high in (("a", -300, 300), ("b", 10**12, 10**12 + 20_000), ("c", -(10**9), -(10**9) + 5000)):
+        data += [(key, x, x + random.choice([0, 1, 5, 63, 64, 200, -1])) for x in (random.randint(low, high) for _ in range(50))]
+    want = []
+    for key in "abc":
+        points = sorted({p for k, lo, hi in data if k == key for p in range(lo, hi + 1)})
+        for p in points:
+            if want and want[-1][0] == key and want[-1][2] == p - 1:
+                want[-1][2] = p
+            else:
+                want.append([key, p, p])
+    df = spark.createDataFrame(data, "key string, lo long, hi long")
+    assert rows(intervals.covered_runs(df, "key", "lo", "hi", bits=None)) == sorted(map(tuple, want), key=repr)
+    assert rows(intervals.covered_runs(df.limit(0), "key", "lo", "hi", bits=None)) == []
+    with pytest.raises(Exception, match="outside"):
+        intervals.covered_runs(df, "key", "lo", "hi").collect()
 
 
 def test_periods_and_gaps_brute_force(spark):
