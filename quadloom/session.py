@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only when it was counted and has no more rows than this.
@@ -56,6 +56,15 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def computed_once(column: Column) -> Column:
+    """`column`, so that a filter on what is made of it is applied after it is computed.
+
+    The optimizer moves filters below the columns they use and writes the definition of a column into each use, so a
+    costly match would run many times a row. It leaves columns alone that are not deterministic, as this one claims to be.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, column)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """`df`, dealt out to all cores if it comes in fewer than half as many pieces, as from one small file.
 

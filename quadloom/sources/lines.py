@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quadloom.session import computed_once
+
 _SEP = "\u0001"
 _W = r"[ \t]*+"
 _IRI = r"<[^<>]*+>"
@@ -70,7 +72,8 @@ def read_lines(lines: DataFrame, text: str = "line_text") -> DataFrame:
     # The first character that is no blank, of which an empty text has none.
     df = lines.withColumn("_head", F.substring(F.ltrim(F.translate(raw, "\t", " ")), 1, 1))
     carries = ~head.isin("", "#")
-    df = df.withColumn("_t", F.when(carries & (head != "{"), _fields(raw, _TRIPLE, 7))).withColumn("_h", F.when(head == "{", _fields(raw, _HYPER, 5)))
+    df = df.withColumn("_t", computed_once(F.when(carries & (head != "{"), _fields(raw, _TRIPLE, 7))))
+    df = df.withColumn("_h", computed_once(F.when(head == "{", _fields(raw, _HYPER, 5))))
     t, h = F.col("_t"), F.col("_h")
     s, p, iri, lit, lang, kind, time = (t[i] for i in range(1, 8))
     o = F.when(iri != "", _inner(iri)).otherwise(_inner(lit))

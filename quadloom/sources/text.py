@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadloom.model import RESERVED
+from quadloom.session import computed_once
 from quadloom.sources.lines import good_lines
 
 _FACT = r'^\s*<([^>]*)>\s*<([^>]*)>\s*(?:<([^>]*)>|"((?:[^"\\]|\\.)*+)"(?:@[\w-]+|\^\^<[^>]*>)?)\s*(?:<([^>]*)>)?\s*\.?\s*$'
@@ -21,7 +22,7 @@ def facts_of(lines: DataFrame, text: str = "value") -> DataFrame:
     """
     shaped = F.regexp_replace(F.col(text), _FACT, "\u0001$1\u0001$2\u0001$3$4\u0001$5")
     parts = F.split(shaped, "\u0001")
-    rows = lines.where(F.ltrim(text).startswith("<")).select(parts.alias("x")).where(F.size("x") == 5)
+    rows = lines.where(F.ltrim(text).startswith("<")).select(computed_once(parts).alias("x")).where(F.size("x") == 5)
     rows = rows.select(F.col("x")[1].alias("s"), F.col("x")[2].alias("p"), F.col("x")[3].alias("o"), F.when(F.col("x")[4] != "", F.col("x")[4]).otherwise("no").alias("t"))
     return rows.where("s <> '' and p <> '' and o <> ''")
 
@@ -35,7 +36,7 @@ def hyper_of(lines: DataFrame, first_hid: int = 1, text: str = "value", cut_dots
     """
     cut = "[{},.\r]" if cut_dots else "[{},]"
     parts = F.filter(F.transform(F.split(F.regexp_replace(F.col(text), r"[.\s]*$", ""), cut), lambda x: F.trim(x)), lambda x: x != "")
-    rows = lines.where(F.ltrim(text).startswith("{")).select(parts.alias("x")).where(F.size("x") >= 4)
+    rows = lines.where(F.ltrim(text).startswith("{")).select(computed_once(parts).alias("x")).where(F.size("x") >= 4)
     return rows.select(
         F.concat(F.lit("hid"), (F.monotonically_increasing_id() + first_hid).cast("string")).alias("hid"),
         F.col("x")[1].alias("subject"),
