@@ -96,6 +96,11 @@ def _signed(chars: np.ndarray, span: tuple[int, int] | None) -> np.ndarray:
     return _number(chars, (span[0] + 1, span[1]))
 
 
+def _is_offset(hours: np.ndarray, minutes: np.ndarray) -> np.ndarray:
+    """Offsets reach to 18 hours, and an hour has 60 minutes."""
+    return (minutes <= 59) & (hours * 60 + minutes <= 18 * 60)
+
+
 def _by_text(texts: np.ndarray, value) -> np.ndarray:
     """value(text) for each, computed once per distinct text; NaN where it gives none."""
     distinct, at = np.unique(texts, return_inverse=True)
@@ -111,10 +116,10 @@ def _convert(parser: Parser, texts: list[str], zone: np.ndarray, day_first: np.n
     if "n" in p:
         digits = p["n"][1] - p["n"][0]
         unit = 10**6 if digits <= 11 else 10**3 if digits <= 14 else 1 if digits <= 17 else None
-        whole = _number(chars, p["n"])
+        whole = _number(chars, p["n"]) if unit else None
         # Fractions of a second only; a fraction of a smaller unit is cut to whole microseconds.
-        if unit is None:
-            micros = whole // 1000
+        if unit is None:  # the last three digits of nanoseconds are not read, so that 19 digits fit
+            micros = _number(chars, (p["n"][0], p["n"][1] - 3))
         else:
             micros = whole * unit + (_micros(chars, p.get("nf")) * unit) // 10**6
         return (-micros if "sign" in p else micros), ok
@@ -148,10 +153,14 @@ def _convert(parser: Parser, texts: list[str], zone: np.ndarray, day_first: np.n
     utc = {"UTC", "GMT", "UT", "Z"}
     if "oh" in p:
         sign = np.where(chars[:, p["oh"][0]] == ord("-"), -1, 1)
-        offset = sign * (_signed(chars, p["oh"]) * 3600 + _number(chars, p.get("om")) * 60.0)
+        hours, minutes = _signed(chars, p["oh"]), _number(chars, p.get("om"))
+        ok &= _is_offset(hours, minutes)
+        offset = sign * (hours * 3600 + minutes * 60.0)
     elif "abbr" in p:
         sign = np.where(chars[:, p["sh"][0]] == ord("-"), -1, 1)
-        offset = sign * (_signed(chars, p["sh"]) * 3600 + _number(chars, p.get("sm")) * 60.0)
+        hours, minutes = _signed(chars, p["sh"]), _number(chars, p.get("sm"))
+        ok &= _is_offset(hours, minutes)
+        offset = sign * (hours * 3600 + minutes * 60.0)
         ok &= _by_text(_texts(chars, p["abbr"]), lambda w: float(w.upper() in utc)) == 1
     elif "zn" in p:
         names = _texts(chars, p["zn"])
@@ -170,7 +179,7 @@ def _convert(parser: Parser, texts: list[str], zone: np.ndarray, day_first: np.n
         for i, key in enumerate(distinct):
             if table := tables.zones.get(str(key)):
                 mine = codes == i
-                offset[mine] = table.offset[np.searchsorted(table.wall, wall[mine], side="right")]
+                offset[mine] = table.offset_at(wall[mine])
     ok &= ~np.isnan(offset)
     return (wall - np.nan_to_num(offset).astype(np.int64)) * 10**6 + _micros(chars, p.get("f")), ok
 
@@ -199,17 +208,20 @@ def states_moment(text: Column) -> Column:
     return text.isNotNull() & ~text.isin("no", "null", "") & ~text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$")
 
 
-def utc_instants(facts: DataFrame, feeds: DataFrame) -> DataFrame:
+def utc_instants(facts: DataFrame, feeds: DataFrame, tzdata: str | None = None) -> DataFrame:
     """(fact_id, t_utc): one row per fact whose `t` states a moment.
 
     A time without zone is in the zone of the fact's feed, UTC if the feed is unknown; slashed dates put the day first
     unless the feed says otherwise. A wall-clock time that occurs twice means the first, one that the clock skips takes
     the offset before the change. Missing digits are 0, digits past microseconds are cut. Bare numbers count from 1970
     UTC in seconds (up to 11 digits), milliseconds (up to 14), microseconds (up to 17) or nanoseconds. Texts of no known
-    layout, impossible dates and unknown zones state no moment. Repeated facts have a row each.
+    layout, impossible dates and offsets and unknown zones state no moment. Repeated facts have a row each.
+
+    The driver reads the zone tables once and sends them to all workers, so one version of the database decides;
+    `tzdata` (such as "2025b") makes any other version an error.
     """
     spark = facts.sparkSession
-    tables = spark.sparkContext.broadcast(load_tables())
+    tables = spark.sparkContext.broadcast(load_tables(tzdata))
 
     @F.pandas_udf("string")
     def convert(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -217,6 +229,7 @@ def utc_instants(facts: DataFrame, feeds: DataFrame) -> DataFrame:
         for text, mask, zone, first in parts:
             yield convert_batch(text, mask, zone, first, known)
 
+    convert = convert.asNondeterministic()  # or the filter on its result would run it a second time
     rows = facts.select("fact_id", F.trim("t").alias("t"), "src").where(states_moment(F.col("t")))
     by_feed = feeds.where(F.col("src").isNotNull()).groupBy("src").agg(F.max("zone_id").alias("zone_id"), F.max("day_first").alias("day_first"))
     joined = rows.join(broadcast_if_small(by_feed), "src", "left").withColumn("mask", shape_mask(F.col("t")))

@@ -7,12 +7,17 @@ import re
 import struct
 import zoneinfo
 from dataclasses import dataclass, field
-from datetime import UTC, date, datetime, timedelta
+from datetime import date, timedelta
+from functools import lru_cache
 
 import numpy as np
 
-#: Transitions that a zone's rule for the future yields are listed up to this year.
-LAST_YEAR = 2100
+#: Transitions that a zone's rule for the future yields are listed up to the end of this year. The calendar repeats
+#: itself, weekdays included, every 400 years, so a later time is looked up by as many such cycles before; the last 400
+#: years listed hold nothing but rules.
+LAST_YEAR = 2499
+CYCLE = 146_097 * 86_400
+_END = (date(LAST_YEAR + 1, 1, 1) - date(1970, 1, 1)).days * 86_400
 
 
 @dataclass
@@ -27,6 +32,13 @@ class Zone:
     offset: np.ndarray
     names: dict[str, int] = field(default_factory=dict)
 
+    def offset_at(self, wall: np.ndarray) -> np.ndarray:
+        """Seconds east of UTC at wall-clock seconds since 1970, for any year."""
+        late = wall >= _END
+        if late.any():
+            wall = np.where(late, wall - ((wall - _END) // CYCLE + 1) * CYCLE, wall)
+        return self.offset[np.searchsorted(self.wall, wall, side="right")]
+
 
 def _posix_offset(text: str) -> int:
     m = re.fullmatch(r"([+-]?)(\d+)(?::(\d+))?(?::(\d+))?", text)
@@ -51,21 +63,20 @@ def _rule_day(rule: str, year: int) -> tuple[date, int]:
     return date(year, 1, 1) + timedelta(int(day)), seconds
 
 
-def _future(rule: str, after: int) -> list[tuple[int, int, str]]:
-    """(UTC second, offset, name) of the changes after `after` that a POSIX rule yields."""
+@lru_cache(maxsize=1024)
+def _future(rule: str) -> tuple[tuple[int, int, str], ...]:
+    """(UTC second, offset, name) of the changes from 1970 to LAST_YEAR that a POSIX rule yields."""
     part = r"(<[^>]+>|[A-Za-z]+)"
     m = re.fullmatch(rf"{part}([+-]?[\d:]+)(?:{part}([+-]?[\d:]+)?,([^,]+),([^,]+))?", rule)
     if not m or not m[3]:
-        return []
+        return ()
     std, dst = -_posix_offset(m[2]), -_posix_offset(m[4]) if m[4] else -_posix_offset(m[2]) + 3600
     out = []
     for year in range(1970, LAST_YEAR + 1):
         for when, before, then, name in ((m[5], std, dst, m[3]), (m[6], dst, std, m[1])):
             d, seconds = _rule_day(when, year)
-            at = int(datetime(d.year, d.month, d.day, tzinfo=UTC).timestamp()) + seconds - before
-            if at > after:
-                out.append((at, then, name.strip("<>")))
-    return sorted(out)
+            out.append(((d - date(1970, 1, 1)).days * 86_400 + seconds - before, then, name.strip("<>")))
+    return tuple(sorted(out))
 
 
 def read_zone(data: bytes) -> Zone:
@@ -88,7 +99,7 @@ def read_zone(data: bytes) -> Zone:
     at += chars + leap * 12 + isstd + isut
     rule = data[at:].decode().strip("\n")
     changes = [(t, infos[i][0], name_at(infos[i][2])) for t, i in zip(utc, index, strict=True)]
-    changes += _future(rule, utc[-1] if utc else -(2**62))
+    changes += [x for x in _future(rule) if not utc or x[0] > utc[-1]]
     first = next((x[0] for x in infos if not x[1]), infos[0][0])
     offsets = np.array([first, *[o for _, o, _ in changes]], dtype=np.int64)
     moments = np.array([t for t, _, _ in changes], dtype=np.int64)
@@ -111,11 +122,20 @@ def _version(root: str) -> str:
     return "unknown"
 
 
-def load_tables() -> ZoneTables:
+def load_tables(version: str | None = None) -> ZoneTables:
     """All zones of the database that is installed where this runs, and the version of the database.
 
-    Their number and size are those of the public database: about 600 zones, a few MB.
+    Their number and size are those of the public database: about 600 zones, some 10 MB. Tables of another `version` than
+    the one asked for are an error, so that a result can be made again with the rules it was made with.
     """
+    tables = _installed()
+    if version is not None and tables.version != version:
+        raise ValueError(f"time zone database {tables.version} is installed, {version} is wanted")
+    return tables
+
+
+@lru_cache(maxsize=1)
+def _installed() -> ZoneTables:
     root = next((p for p in zoneinfo.TZPATH if os.path.exists(os.path.join(p, "UTC"))), None)
     version = _version(root) if root else "unknown"
     if root is None:
