@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quadloom.session import BROADCAST_ROWS, broadcast_if_small, cut_lineage
+
 #: A key is heavy if it holds more than 1 / HEAVY_SHARE of all rows, so fewer than HEAVY_SHARE keys ever are.
 HEAVY_SHARE = 64
 #: Groups that the rows of a heavy key are spread over.
@@ -13,9 +15,9 @@ SALTS = 64
 
 def heavy_keys(df: DataFrame, key: str, share: int = HEAVY_SHARE) -> DataFrame:
     """(key): the non-null keys with more than 1/share of the rows; by arithmetic fewer than `share` rows."""
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     total = df.agg(F.count(F.lit(1)).alias("_total"))
-    return counts.join(F.broadcast(total), F.col("_n") * share > F.col("_total"), "inner").select(key)
+    return counts.where(F.col(key).isNotNull()).join(F.broadcast(total), F.col("_n") * share > F.col("_total"), "inner").select(key)
 
 
 def salted_aggregate(
@@ -27,7 +29,7 @@ def salted_aggregate(
     salts: int = SALTS,
     share: int = HEAVY_SHARE,
 ) -> DataFrame:
-    """Aggregate `df` by `key` in two stages.
+    """Aggregate `df` by `key` in two stages; `df` is read twice, so it should be a table or a checkpoint.
 
     Stage one groups by (key, salt) and computes `partial`; stage two groups by key and merges the partials by `final`.
     Rows of heavy keys get one of `salts` salts, all others salt 0. The salt is a hash of `salt_on`, random with
@@ -40,6 +42,24 @@ def salted_aggregate(
     return staged.groupBy(key).agg(*[c.alias(n) for n, c in final.items()])
 
 
+def look_up(df: DataFrame, right: DataFrame, key: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Left join of `df` with `right`, which has each `key` once.
+
+    A right side of at most `limit` rows is broadcast. Of a larger one only the rows of heavy keys are (fewer than
+    HEAVY_SHARE), so that rows of such a key stay where they are; the others meet by a shuffle, and rows without a key
+    meet nothing. `df` is then read more than once, so it should be a table or a checkpoint.
+    """
+    small = broadcast_if_small(right, limit)
+    if small is not right:
+        return df.join(small, key, "left")
+    heavy = heavy_keys(df, key)
+    marked = df.join(F.broadcast(heavy.withColumn("_heavy", F.lit(True))), key, "left")
+    hot = marked.where(F.col("_heavy")).drop("_heavy").join(F.broadcast(right.join(F.broadcast(heavy), key, "left_semi")), key, "left")
+    rest = marked.where(F.col("_heavy").isNull()).drop("_heavy")
+    cold = rest.where(F.col(key).isNotNull()).join(right, key, "left")
+    return hot.unionByName(cold).unionByName(rest.where(F.col(key).isNull()), allowMissingColumns=True)
+
+
 def current_pages(chunk_metas: DataFrame) -> DataFrame:
     """(page_no, pid, triple_count): each page once, by its report with the highest update_count.
 
@@ -62,7 +82,8 @@ def page_figures(chunk_metas: DataFrame) -> DataFrame:
 
     A null triple_count counts as 0. An empty table gives an empty result.
     """
-    pages = current_pages(chunk_metas).withColumn("n", F.coalesce(F.col("triple_count"), F.lit(0)).cast("bigint"))
+    pages = current_pages(chunk_metas).select("page_no", "pid", F.coalesce(F.col("triple_count"), F.lit(0)).cast("bigint").alias("n"))
+    pages = cut_lineage(pages)  # read twice, for the heavy keys and for the figures
     out = salted_aggregate(
         pages,
         "pid",
