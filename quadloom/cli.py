@@ -1,4 +1,4 @@
-"""Command line of a store: python -m quadloom.cli build|insert|query|search|hyper|export|predicates|compact ..."""
+"""Command line of a store: python -m quadloom.cli build|insert|query|search|hyper|export|predicates|compact|explain ..."""
 
 from __future__ import annotations
 
@@ -22,7 +22,7 @@ def _parser() -> argparse.ArgumentParser:
     sub = p.add_subparsers(dest="command", required=True)
     for name, *args in (
         ("build", "db", "files"), ("insert", "db", "files"), ("query", "db", "text"), ("search", "db", "head", "rel", "tail"),
-        ("hyper", "db", "subject", "predicate", "object"), ("export", "db", "out"), ("predicates", "db"), ("compact", "db"),
+        ("hyper", "db", "subject", "predicate", "object"), ("export", "db", "out"), ("predicates", "db"), ("compact", "db"), ("explain", "db", "text"),
     ):
         s = sub.add_parser(name)
         for a in args:
@@ -50,6 +50,8 @@ def run(spark: SparkSession, argv: list[str]) -> DataFrame | str:
     if a.command == "export":
         db.export(a.out)
         return f"exported to {a.out}"
+    if a.command == "explain":
+        return db.explain(a.text)
     if a.command == "compact":
         return f"version {db.compact()}"
     return db.predicates()

@@ -187,6 +187,21 @@ def hyper_scan(hyper: DataFrame, patterns: list[Pattern]) -> DataFrame:
     return out
 
 
+def explained(query: Query, sizes: Sizes | None = None) -> list[tuple[str, str, str]]:
+    """(shape, join classes, join tree) of each group of patterns of a query."""
+    names = {p: f"{_said(p.s)} {_said(p.p)} {_said(p.o)}" for p in all_patterns(query)}
+
+    def said(tree: Tree) -> str:
+        return f"({said(tree[0])} * {said(tree[1])})" if isinstance(tree, tuple) else names[tree]
+
+    groups = [g.patterns for g in query.where.groups() if g.patterns]
+    return [(shape(g), " ".join(sorted(join_classes(g))), said(join_tree([(p, estimate(p, sizes or {})) for p in g]))) for g in groups]
+
+
+def _said(term: Term) -> str:
+    return f"<{term.value}>" if isinstance(term, Const) else f"?{term.name}"
+
+
 def eval_bgp(facts: DataFrame, patterns: list[Pattern], sizes: Sizes | None = None, hyper: DataFrame | None = None) -> DataFrame | None:
     """Bindings of all patterns, joined on every variable they share; patterns that share none give a product.
 

@@ -353,6 +353,11 @@ class GraphStore:
         facts = self._stored(m).where("first").select("s", "p", "o", "t")
         return compiler.select(facts, query, self.sizes(query), self.hyper() if m["exact"] and m["hyper"] else None)
 
+    def explain(self, text: str) -> DataFrame:
+        """(shape, joins, tree): how the patterns of each group of a query are joined, by the statistics of the store."""
+        query = compiler.checked(text, False)
+        return self.spark.createDataFrame(compiler.explained(query, self.sizes(query)), "shape string, joins string, tree string")
+
     def search(self, head: str = "", rel: str = "", tail: str = "") -> DataFrame:
         return search(self.facts(), head, rel, tail)
 

@@ -214,6 +214,18 @@ def test_hyperedge_search_equals_assembly(spark):
         store.search_hyper(hyper)
 
 
+def test_assembly_of_one_subject_among_decoys(spark):
+    """35 hyperedges of one subject and predicate with 309 objects, 14 of them under open ends, beside two others."""
+    sizes = [14, *[8] * 15, *[9] * 15, *[10] * 4]
+    hyper = [(f"hid{i}", "S", "member", [f"o{i}-{k}" for k in range(n)], f"2006-10-{i % 28 + 1:02}", "null" if i == 0 else f"2010-{i % 12 + 1:02}-01") for i, n in enumerate(sizes)]
+    table = spark.createDataFrame([*hyper, ("hid90", "Other", "member", ["x"], "2000-01-01", "null"), ("hid91", "S", "owner", ["x"], "2000-01-01", "null")], model.HYPER)
+    want = sorted(((h, s, p, o, a, b) for h, s, p, os, a, b in hyper for o in os), key=repr)
+    assert len(want) == 309 and sum(w[5] == "null" for w in want) == 14
+    ask = store.query_gene_hyper("S", "member")
+    for found in (compiler.run(model.reified(table), ask), compiler.run(model.reified(table), ask, hyper=table), model.hyper_rows(table, "S", "member")):
+        assert rows(found.toDF("h", "x", "y", "z", "k", "m")) == want
+
+
 def test_point_lookup_rules(facts):
     assert rows(store.search(facts, "a", "q", "ignored")) == [("a", "q", "x", "2001-01-01"), ("a", "q", "x", "2002-02-02")]
     assert rows(store.search(facts, "", "q", "y")) == [("c", "q", "y", "no"), ("g", "q", "y", "no")]
@@ -236,6 +248,9 @@ def test_store_life(spark, facts, tmp_path):
     assert rows(db.search_hyper(o="o1").select("hid").distinct()) == [("hid1",), ("hid2",)]
     plan = db.sparql("select ?o where { <a> <q> ?o }")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(p" in plan and "EqualTo(s,a)" in plan
+    assert rows(db.explain("select ?x where { ?x <s> ?y . ?y <q> ?z . { ?x <p> ?v } union { ?x <p> ?w . ?w <r> ?x } }")) == [
+        ("cyclic", "SO", "(?x <p> ?w * ?w <r> ?x)"), ("single", "", "?x <p> ?v"), ("star", "SO", "(?x <s> ?y * ?y <q> ?z)"),
+    ]
     new = spark.createDataFrame([("a", "q", "x", "2009-09-09"), ("n", "q", "x", "2009-09-09"), ("n", "q", "x", "2008-08-08"), ("", "q", "x", "no")], model.FACTS)
     assert db.append(new) == 1
     assert rows(db.search("n", "q")) == [("n", "q", "x", "2008-08-08")]

@@ -127,6 +127,15 @@ def test_heavy_keys_are_salted(spark):
     assert out.where("pid = 1").first().n == 4000 and out.count() == 1001
 
 
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_look_up_of_heavy_keys(spark, limit):
+    df = spark.range(3000).select(F.when(F.col("id") < 1500, "hot").when(F.col("id") < 2000, None).otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("key"), "id")
+    right = spark.createDataFrame([("hot", 1.0), *[(f"k{i}", float(i)) for i in range(40)], ("unused", 9.0)], "key string, w double")
+    got = skew.look_up(df, right, "key", limit)
+    weight = {r.key: r.w for r in right.collect()}
+    assert got.columns == ["key", "id", "w"] and rows(got) == sorted(((r.key, r.id, weight.get(r.key)) for r in df.collect()), key=repr)
+
+
 LOG = "recv_no long, page_no long, pid int, min_t timestamp, log_count long, operation_type string, s string, o string, t string, _seq int"
 
 
@@ -322,8 +331,16 @@ def test_zone_tables_agree_with_zoneinfo():
         for _ in range(40):
             second = random.randint(0, 4_000_000_000)
             wall = datetime(1970, 1, 1) + timedelta(seconds=second)
-            assert z.offset[np.searchsorted(z.wall, second, side="right")] == wall.replace(tzinfo=info).utcoffset().total_seconds(), (key, wall)
-    assert tables.version != ""
+            assert z.offset_at(np.array([second]))[0] == wall.replace(tzinfo=info).utcoffset().total_seconds(), (key, wall)
+    for key in ("Europe/Berlin", "America/New_York", "Australia/Sydney", "Africa/Casablanca", "America/Santiago", "Europe/Dublin", "Asia/Gaza"):
+        z, info = tables.zones[key], zoneinfo.ZoneInfo(key)
+        for _ in range(200):
+            wall = datetime(random.choice([2038, 2100, 2499, 2500, 2899, 2900, random.randint(2101, 9998)]), 1, 1) + timedelta(seconds=random.randint(0, 366 * 86400))
+            second = (wall - datetime(1970, 1, 1)) // timedelta(seconds=1)
+            assert z.offset_at(np.array([second]))[0] == wall.replace(tzinfo=info).utcoffset().total_seconds(), (key, wall)
+    assert tables.version != "" and zones.load_tables(tables.version) is tables
+    with pytest.raises(ValueError):
+        zones.load_tables("1970a")
 
 
 TIMES = [
@@ -349,6 +366,12 @@ TIMES = [
     ("2012年10月14日 13时9分5秒", "mirror", "2012-10-14T05:09:05.000000Z"),
     ("20210723T070809Z", "coral", "2021-07-23T07:08:09.000000Z"),
     ("2020-01-01 00:00:00", "unknown", "2020-01-01T00:00:00.000000Z"),
+    ("2150-07-01 12:00:00", "harbor", "2150-07-01T10:00:00.000000Z"),
+    ("2150-01-01 12:00:00", "harbor", "2150-01-01T11:00:00.000000Z"),
+    ("9999-07-01 12:00:00", "ledger", "9999-07-01T16:00:00.000000Z"),
+    ("2020-01-01 00:00:00+18:00", "relay", "2019-12-31T06:00:00.000000Z"),
+    ("2020-01-01 00:00:00+18:01", "relay", None), ("2020-01-01 00:00:00-12:60", "relay", None), ("2020-01-01 00:00:00+99:99", "relay", None), ("2020-01-01 00:00:00 UTC+19", "relay", None),
+    ("1489935127123456789", "relay", "2017-03-19T14:52:07.123456Z"), ("9999999999999999999", "relay", "2286-11-20T17:46:39.999999Z"),
     ("2020-02-30 00:00:00", "relay", None), ("2020-01-01 25:00:00", "relay", None), ("2020-01-01T00:00:00[No/Where]", "relay", None), ("soon", "relay", None),
     ("2020-01-01", "relay", None), ("no", "relay", None), ("null", "relay", None), (None, "relay", None), ("x" * 5000, None, None),
 ]
