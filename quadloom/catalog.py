@@ -8,14 +8,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadloom import store
-from quadloom.model import assembled, grouped, hyper_rows, reified
+from quadloom import cli, store
+from quadloom.model import RESERVED, assembled, grouped, hyper_rows, reified
 from quadloom.operators.graph import merged, reduce_all, scan, semi_reduce, within_range
 from quadloom.plans import compiler
-from quadloom.plans.query import Const, Pattern, Var, parse
+from quadloom.plans.query import RDF_TYPE, Const, Pattern, QueryError, Var, parse
 from quadloom.session import ensure_checkpoint_dir, table
 from quadloom.sources.mapping import fact_table, mapped_facts, mapped_hyper, mapped_sizes
-from quadloom.sources.text import checked_facts, export_lines, facts_of, hyper_line, hyper_of
+from quadloom.sources.text import checked_facts, export_lines, facts_of, hyper_line, hyper_of, read_key_values
+from quadloom.sources.turtle import read_turtle
+from quadloom.streaming.append import append_stream
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -342,6 +344,43 @@ _ask(
     "select ?x where { ?x <n_region> <region/1>, ?r . ?r <r_name> 'AMERICA' }",
     f"select {N} as x from nation join region on n_regionkey = r_regionkey where n_regionkey = 1 and r_name = 'AMERICA'",
 )
+_ask("syntax_colon", "prefix : <c_> select ?x ?n ?k where { ?x :name ?n ; :nation ?k }", _NAMED)
+_ask("syntax_last_where", "select ?x where { ?x <s_nation> ?n } where { ?x <c_nation> <nation/3> }", f"select {C} as x from customer where c_nationkey = 3")
+_ask("temporal_mode", "-t select ?o ?p where { ?o <contains> ?p }", "select distinct 'order/' || l_orderkey as o, 'part/' || l_partkey as p, strftime(l_shipdate, '%Y-%m-%d') as t from lineitem")
+
+
+@_call("syntax_type", f"select {C} as x from customer where c_mktsegment = 'BUILDING'")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    typed = mapped_facts(spark, d, "c_mktsegment").withColumn("p", F.lit(RDF_TYPE))
+    return compiler.run(typed, "select ?x where { ?x a <BUILDING> }")
+
+
+#: Texts that are no queries, and one that is.
+_TEXTS = (
+    "ask { ?x <p> ?y }", "construct { ?x <p> ?y } where { ?x <p> ?y }", "describe <a>", "select ?x from <g> where { ?x <p> ?y }", "select where { ?x <p> ?y }",
+    "select ?x where { ?x <p> ?y", "select ?x where { ?x q:z ?y }", "prefix a: <x> prefix a: <y> select ?x where { ?x <p> ?y }", "select ?x where { ?x <p> ?y } limit 0",
+    "select ?x where { ?x <p> ?y } order", "insert data { ?x <p> <y> }", "select ?x where { ?x <p> ?y }",
+)
+
+
+@_call("syntax_errors", "select i::int as n, i < 11 as refused from range(12) t(i)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    def refused(text: str) -> bool:
+        try:
+            parse(text)
+        except QueryError:
+            return True
+        return False
+
+    return spark.createDataFrame([(i, refused(t)) for i, t in enumerate(_TEXTS)], "n int, refused boolean")
+
+
+@_call("key_values", f"""select s, p, string_agg(o, '|' order by o) as "values", count(*)::bigint as n from (select s, p, trim(o) as o from {_MAPPED} where o <> '') group by s, p""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    lines = mapped_facts(spark, d).where("o <> ''").select(F.concat_ws("=", "s", "p", "o").alias("value"))
+    return read_key_values(lines).select("s", "p", F.concat_ws("|", "values").alias("values"), F.size("values").cast("bigint").alias("n"))
+
+
 _ask("empty_unknown_const", "select ?x where { ?x <c_nation> <nation/999> }", "select '' as x where false")
 _ask(
     "temporal_events",
@@ -597,6 +636,79 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.text(f"{db.path}/export/*").withColumnRenamed("value", "line")
 
 
+@_call("store_lookup", "select distinct 'order/7' as s, 'contains' as p, 'part/' || l_partkey as o, strftime(l_shipdate, '%Y-%m-%d') as t from lineitem where l_orderkey = 7")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _built(spark, d).search("order/7", "contains").select("s", "p", "o", "t")
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/files-{uuid.uuid4().hex}"
+
+
+@_call("store_load", f"select distinct s, p, o, t from {_MAPPED} where o <> '' union all select hid, 'rdfo', object, 'no' from ({_HYPER})")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Facts and hyperedges as text files, loaded by the command line; the hids are new, so the objects keep the old ones in theirs."""
+    folder = _folder(spark)
+    export_lines(mapped_facts(spark, d), reserved=False).write.text(f"{folder}/facts")
+    named = mapped_hyper(spark, d).withColumn("subject", F.col("hid"))
+    named.select(hyper_line().alias("line")).write.text(f"{folder}/hyper")
+    cli.run(spark, ["build", f"{folder}/db", f"{folder}/{{facts,hyper}}"])
+    db = store.GraphStore(spark, f"{folder}/db")
+    held = db.search_hyper(p="placed").select(F.col("subject").alias("s"), F.lit("rdfo").alias("p"), F.col("object").alias("o"), F.lit("no").alias("t"))
+    return db.facts().where(~F.col("p").isin(*RESERVED)).select("s", "p", "o", "t").unionByName(held)
+
+
+_SEEN = f"""(select distinct s, p, o, t from {_MAPPED}) union all
+    select 'supplier/' || s_suppkey, 'c_nation', 'nation/' || s_nationkey, 'no' from supplier"""
+
+
+def _arrivals(spark: SparkSession, d: str) -> tuple[store.GraphStore, str]:
+    """A store of every mapped fact, and files of facts that are partly there: nations of customers, and of suppliers as such."""
+    folder = _folder(spark)
+    db = store.GraphStore(spark, f"{folder}/db")
+    db.build(mapped_facts(spark, d))
+    export_lines(mapped_facts(spark, d, "c_nation", "s_nation").withColumn("p", F.lit("c_nation")), reserved=False).write.text(f"{folder}/new")
+    return db, f"{folder}/new"
+
+
+@_call("store_append_file", _SEEN)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    db, new = _arrivals(spark, d)
+    cli.run(spark, ["insert", db.path, new])
+    return db.facts().select("s", "p", "o", "t")
+
+
+@_call("stream_append", _SEEN)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    db, new = _arrivals(spark, d)
+    for _ in range(2):  # the second run finds no new file
+        append_stream(spark, new, db, f"{db.path}-stream").awaitTermination()
+    return db.facts().select("s", "p", "o", "t")
+
+
+@_call("query_file", f"select {C} || '-?-' || c_name as line from customer where c_nationkey = 3")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """A query text of several lines in a file, asked by the command line, its result written to a file."""
+    folder = _folder(spark)
+    db = store.GraphStore(spark, f"{folder}/db")
+    db.build(mapped_facts(spark, d, "c_nation", "c_name"))
+    spark.createDataFrame([("select ?x ?n\nwhere {\n ?x <c_nation> <nation/3> ;\n <c_name> ?n . }",)], "value string").coalesce(1).write.text(f"{folder}/ask")
+    found = cli.run(spark, ["query", db.path, f"{folder}/ask/*.txt", "--file"])
+    store.delimited(found).write.text(f"{folder}/result")
+    return spark.read.text(f"{folder}/result").withColumnRenamed("value", "line")
+
+
+@_call("turtle_roundtrip", f"select distinct s, p, o, 'no' as t from {_MAPPED}")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Facts written as Turtle, by subject with lists, and read again."""
+    folder = _folder(spark)
+    text = F.concat(F.lit('"'), F.regexp_replace("o", r'([\\"])', r"\\$1"), F.lit('"@en'))
+    facts = mapped_facts(spark, d).select("s", "p", "o").distinct()
+    parts = facts.select("s", F.concat(F.lit("<"), F.col("p"), F.lit("> "), text).alias("x")).groupBy("s", F.pmod(F.xxhash64("x"), F.lit(64))).agg(F.concat_ws(" ; ", F.collect_list("x")).alias("x"))
+    parts.select(F.concat(F.lit("<"), F.col("s"), F.lit("> "), F.col("x"), F.lit(" ."))).write.text(f"{folder}/ttl")
+    return read_turtle(spark, f"{folder}/ttl")
+
+
 @_call("store_predicates", f"select p, count(*)::bigint as n, count(distinct (s, o))::bigint as firsts from {_STORED} group by p")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return _built(spark, d).predicates().select("p", "n", "firsts")

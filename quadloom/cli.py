@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import argparse
 import sys
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,9 +11,10 @@ from quadloom.plans.query import QueryError
 from quadloom.store import GraphStore, delimited
 
 
-def query_file(path: str) -> str:
-    """The text of a query file as one line; of any length."""
-    return " ".join(Path(path).read_text(encoding="utf-8").splitlines())
+def query_file(spark: SparkSession, path: str) -> str:
+    """The text of a query file on any file system that Spark reads, as one line; of any length."""
+    found = spark.read.text(path, wholetext=True).first()
+    return " ".join(found.value.splitlines()) if found else ""
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -41,7 +41,7 @@ def run(spark: SparkSession, argv: list[str]) -> DataFrame | str:
     if a.command == "insert":
         return f"{db.append(a.files)} facts added"
     if a.command == "query":
-        out = db.sparql(query_file(a.text) if a.file else a.text, a.strict)
+        out = db.sparql(query_file(spark, a.text) if a.file else a.text, a.strict)
         return out if isinstance(out, DataFrame) else f"version {out}"
     if a.command == "search":
         return db.search(a.head, a.rel, a.tail)

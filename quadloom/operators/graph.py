@@ -11,13 +11,13 @@ from quadloom.plans.query import Const, Pattern, Var
 from quadloom.session import cut_lineage
 
 
-def scan(facts: DataFrame, pattern: Pattern, repeats: bool = True) -> DataFrame:
+def scan(facts: DataFrame, pattern: Pattern, repeats: bool = True, times: bool = False) -> DataFrame:
     """The bindings of one pattern over the distinct (s, p, o) of `facts`, columns named after its variables.
 
     Constants become filters that reach the Parquet scan, and p prunes partitions. A variable that occurs twice must
     bind equal terms. Time is not part of the match. A pattern without variables has one row without columns if the
     fact exists. Where each (s, p, o) is known to occur once (`repeats` false), the bindings need no shuffle, as the
-    variables and constants of a pattern name the fact.
+    variables and constants of a pattern name the fact. With `times` the distinct (s, p, o, t) are matched, and t is a column.
     """
     rows = facts
     places: dict[str, list[str]] = {}
@@ -29,6 +29,8 @@ def scan(facts: DataFrame, pattern: Pattern, repeats: bool = True) -> DataFrame:
     for columns in places.values():
         for other in columns[1:]:
             rows = rows.where(F.col(columns[0]) == F.col(other))
+    if times:
+        return rows.select(*[F.col(columns[0]).alias(name) for name, columns in places.items()], "t").distinct()
     if not places:
         return rows.select(F.lit(1).alias("_there")).limit(1).select()
     found = rows.select(*[F.col(columns[0]).alias(name) for name, columns in places.items()])

@@ -295,7 +295,12 @@ def select(facts: DataFrame, query: Query, sizes: Sizes | None = None, hyper: Da
     DISTINCT and REDUCED drop repetitions, COUNT gives each distinct row with its number as `count`, DUPLICATES the
     distinct rows that occur more than once. A projected variable that no pattern binds is null.
     """
-    rows = eval_group(facts, query.where, sizes, hyper)
+    if query.temporal:
+        rows = scan(facts, query.where.patterns[0], times=True)
+        for f in query.where.filters:
+            rows = apply_filter(rows, f, facts)
+    else:
+        rows = eval_group(facts, query.where, sizes, hyper)
     rows = rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in query.columns])
     if query.modifier in ("distinct", "reduced"):
         rows = rows.distinct()

@@ -24,6 +24,7 @@ from quadloom.plans import compiler
 from quadloom.plans.query import Const, Query, QueryError
 from quadloom.session import cut_lineage
 from quadloom.sources.text import export_lines, facts_of, hyper_of, lines_of
+from quadloom.sources.turtle import read_turtle
 
 #: Facts as they are stored: `first` marks one row of each (s, p, o), so that patterns need no distinct.
 STORED = f"{FACTS}, first boolean"
@@ -243,6 +244,10 @@ class GraphStore:
         lines = lines_of(self.spark, path)
         return self.build(facts_of(lines), cut_lineage(hyper_of(lines, cut_dots=cut_dots)))
 
+    def load_turtle(self, path: str) -> int:
+        """Build from Turtle files."""
+        return self.build(read_turtle(self.spark, path))
+
     def next_hid(self) -> int:
         return self._manifest()["next_hid"]
 
@@ -350,7 +355,7 @@ class GraphStore:
         if query.kind != "select":
             return self.update(query)
         m = self._manifest()
-        facts = self._stored(m).where("first").select("s", "p", "o", "t")
+        facts = self._stored(m).where(F.lit(query.temporal) | F.col("first")).select("s", "p", "o", "t")
         return compiler.select(facts, query, self.sizes(query), self.hyper() if m["exact"] and m["hyper"] else None)
 
     def explain(self, text: str) -> DataFrame:

@@ -365,6 +365,45 @@ def test_text_loading_and_stream(spark, tmp_path):
     assert rows(text.read_key_values(spark.createDataFrame([("a=p=1",), ("a=p=2=3",), ("bad",)], "value string"))) == [("a", "p", ["1", "2=3"])]
 
 
+TURTLE = """@prefix x: <http://x/> . PREFIX : <e_>
+@base <http://b/> .
+# a comment
+x:a a x:Thing ; x:p "l'it \\"q\\" \\u00e9"@en , 'one' , 4.5 , -2e3, true ;
+    :q [ x:r <rel> ; x:s _:n ] , _:n .
+_:n x:long \"\"\"two
+"lines\"\"\"^^x:text .
+[] x:p <http://c/d.e> .
+[ x:p x:last.one ] .
+"""
+
+
+def test_turtle(spark, tmp_path):
+    from quadloom.sources.turtle import read_turtle, triples_of
+
+    a = "http://x/a"
+    assert list(triples_of(TURTLE)) == [
+        (a, RDF_TYPE, "http://x/Thing"), (a, "http://x/p", "l'it \"q\" é"), (a, "http://x/p", "one"), (a, "http://x/p", "4.5"), (a, "http://x/p", "-2e3"), (a, "http://x/p", "true"),
+        ("_:b.1", "http://x/r", "http://b/rel"), ("_:b.1", "http://x/s", "_:b:n"), (a, "e_q", "_:b.1"), (a, "e_q", "_:b:n"), ("_:b:n", "http://x/long", 'two\n"lines'),
+        ("_:b.2", "http://x/p", "http://c/d.e"), ("_:b.3", "http://x/p", "http://x/last.one"),
+    ]
+    for text in ("<a> <b> .", "<a> <b> <c>", "<a> <b> <c> <d> .", "<a> <b> (1 2) .", "<a> y:b <c> .", "'x' <b> ' .", "@prefix x <y> .", "<a> 'b' <c> ."):
+        with pytest.raises(QueryError):
+            list(triples_of(text))
+    for i in range(3):
+        (tmp_path / f"{i}.ttl").write_text(f"_:n <p>\n <o{i}> .\n" * 3, encoding="utf-8")
+    found = rows(read_turtle(spark, str(tmp_path), batch=2))
+    assert len(found) == 9 and len({r[0] for r in found}) == 3 and {r[2] for r in found} == {"o0", "o1", "o2"}
+    db = GraphStore(spark, str(tmp_path / "db"))
+    assert db.load_turtle(str(tmp_path / "*.ttl")) == 1 and db.facts().count() == 3
+
+
+def test_temporal_mode(facts):
+    assert rows(compiler.run(facts, "-t select ?x where { ?x <q> <x> filter(?x != <b>) }")) == [("a", "2001-01-01"), ("a", "2002-02-02")]
+    for text in ("-t select ?x where { ?x <q> ?y . ?y <p> ?z }", "-t select ?t where { ?t <q> ?y }", "-t delete { ?x <q> ?y }", "-tselect ?x where { ?x <q> ?y }"):
+        with pytest.raises(QueryError):
+            parse(text)
+
+
 def test_command_line(spark, tmp_path):
     from quadloom import cli
 
