@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from quadloom.llm.spans import Spelled, span_hashes
 from quadloom.llm.tokenizer import _BLANK, _DIGIT, _LETTER, char_classes
-from quadloom.session import broadcast_if_small, cut_lineage, spread
+from quadloom.operators.skew import look_up
+from quadloom.session import cut_lineage, spread
 
 LANGS = ("en", "de", "fr", "es", "it", "pt", "nl", "ru", "zh", "ja")
 _K = len(LANGS)
@@ -433,10 +434,13 @@ def fitted_model(documents: DataFrame) -> Model:
     The sample is read and fitted in one task on an executor; only the model comes back.
     """
     code = label_code(F.col("lang")).alias("code")
-    able = documents.select("doc_id", "text", code).where(F.col("code").isNotNull() & F.length("text").between(1, SAMPLE_CHARS))
+    # The length comes from its own column where there is one, so that choosing reads no texts.
+    size = F.col("n_chars") if "n_chars" in documents.columns else F.length("text")
+    able = documents.select("doc_id", code, size.alias("size")).where(F.col("code").isNotNull() & F.col("size").between(1, SAMPLE_CHARS))
     # Only ids are sorted and sent, at most SAMPLE_DOCS by a task; the texts follow by a join with the chosen ids.
     chosen = able.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    rows = able.join(F.broadcast(chosen), "doc_id", "left_semi").select("text", "code").limit(SAMPLE_DOCS).coalesce(1)
+    rows = documents.select("doc_id", "text", code).join(F.broadcast(chosen), "doc_id", "left_semi")
+    rows = rows.where(F.col("code").isNotNull() & F.length("text").between(1, SAMPLE_CHARS)).select("text", "code").limit(SAMPLE_DOCS).coalesce(1)
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: list[str] = []
@@ -526,8 +530,7 @@ def document_languages(documents: DataFrame) -> DataFrame:
     every = rows.agg(F.array(*[F.sum(F.when(F.col("best") == i, 1.0).otherwise(0.0)) for i in range(_K)]).alias("all"))
     out = rows.crossJoin(F.broadcast(every))  # one row
     for key in ("label", "prefix", "source", "host"):
-        counts = _by_language(rows.where(F.col(key).isNotNull()), key, f"by_{key}")
-        out = out.join(broadcast_if_small(counts), key, "left")
+        out = look_up(out, _by_language(rows.where(F.col(key).isNotNull()), key, f"by_{key}"), key)
     flat = F.array_repeat(F.lit(1.0 / _K).cast("double"), _K)
     out = out.withColumn("p_all", _smoothed(F.col("all"), flat))
     out = out.withColumn("p_source", _smoothed(F.col("by_source"), F.col("p_all")))
