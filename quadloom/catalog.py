@@ -15,7 +15,7 @@ from quadloom.plans import compiler
 from quadloom.plans.query import RDF_TYPE, Const, Pattern, QueryError, Var, parse
 from quadloom.session import ensure_checkpoint_dir, table
 from quadloom.sources.mapping import fact_table, mapped_facts, mapped_hyper, mapped_sizes
-from quadloom.sources.text import checked_facts, export_lines, facts_of, hyper_line, hyper_of, read_key_values
+from quadloom.sources.text import checked_facts, export_lines, facts_of, hyper_line, hyper_of, key_values
 from quadloom.sources.turtle import read_turtle
 from quadloom.streaming.append import append_stream
 
@@ -207,9 +207,15 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return semi_reduce(*_supplied(spark, d), ["s"], "merge")
 
 
-@_call("semijoin_both", "select 'supplier/' || s_suppkey as s from supplier where s_nationkey = 3 and s_suppkey in (select l_suppkey from lineitem)")
+@_call(
+    "semijoin_both",
+    f"""select 'left' as side, p, s from ({_SUPPLIED}) union all
+        select 'right', null, 'supplier/' || s_suppkey from supplier where s_nationkey = 3 and s_suppkey in (select l_suppkey from lineitem)""",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return semi_reduce(*_supplied(spark, d), ["s"], "merge", both=True)[1]
+    left, right = semi_reduce(*_supplied(spark, d), ["s"], "merge", both=True)
+    none = F.lit(None).cast("string").alias("p")
+    return left.select(F.lit("left").alias("side"), "p", "s").unionByName(right.select(F.lit("right").alias("side"), none, "s"))
 
 
 @_call(
@@ -375,10 +381,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(i, refused(t)) for i, t in enumerate(_TEXTS)], "n int, refused boolean")
 
 
-@_call("key_values", f"""select s, p, string_agg(o, '|' order by o) as "values", count(*)::bigint as n from (select s, p, trim(o) as o from {_MAPPED} where o <> '') group by s, p""")
+@_call("key_values", f"select s, p, trim(o) as value from {_MAPPED} where o <> ''")
 def _(spark: SparkSession, d: str) -> DataFrame:
     lines = mapped_facts(spark, d).where("o <> ''").select(F.concat_ws("=", "s", "p", "o").alias("value"))
-    return read_key_values(lines).select("s", "p", F.concat_ws("|", "values").alias("values"), F.size("values").cast("bigint").alias("n"))
+    return key_values(lines)
 
 
 _ask("empty_unknown_const", "select ?x where { ?x <c_nation> <nation/999> }", "select '' as x where false")
@@ -700,12 +706,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @_call("turtle_roundtrip", f"select distinct s, p, o, 'no' as t from {_MAPPED}")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    """Facts written as Turtle, by subject with lists, and read again."""
+    """Facts written as Turtle, a statement each, and read again."""
     folder = _folder(spark)
-    text = F.concat(F.lit('"'), F.regexp_replace("o", r'([\\"])', r"\\$1"), F.lit('"@en'))
+    text = F.concat(F.lit('"'), F.regexp_replace("o", r'([\\"])', r"\\$1"), F.lit('"@en .'))
     facts = mapped_facts(spark, d).select("s", "p", "o").distinct()
-    parts = facts.select("s", F.concat(F.lit("<"), F.col("p"), F.lit("> "), text).alias("x")).groupBy("s", F.pmod(F.xxhash64("x"), F.lit(64))).agg(F.concat_ws(" ; ", F.collect_list("x")).alias("x"))
-    parts.select(F.concat(F.lit("<"), F.col("s"), F.lit("> "), F.col("x"), F.lit(" ."))).write.text(f"{folder}/ttl")
+    facts.select(F.concat(F.lit("<"), F.col("s"), F.lit("> <"), F.col("p"), F.lit("> "), text)).write.text(f"{folder}/ttl")
     return read_turtle(spark, f"{folder}/ttl")
 
 

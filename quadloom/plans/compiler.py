@@ -354,7 +354,7 @@ def insert_facts(facts: DataFrame, new: DataFrame) -> DataFrame:
 def fresh_facts(facts: DataFrame, new: DataFrame, small: bool = False) -> DataFrame:
     """Those of `new` whose (s, p, o) is not in `facts`, with their least time; facts with an empty term are left out.
 
-    small: `new` stands in a query text, so it is sent to the facts instead of the facts being moved to it.
+    small: `new` was counted or stands in a query text, so it is sent to the facts instead of the facts being moved to it.
     """
     there = facts.select("s", "p", "o")
     if small:

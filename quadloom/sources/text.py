@@ -76,8 +76,13 @@ def export_lines(facts: DataFrame, reserved: bool) -> DataFrame:
     return facts.where(due if reserved else ~due).select(fact_line().alias("line"))
 
 
-def read_key_values(lines: DataFrame, text: str = "value") -> DataFrame:
-    """(s, p, values ARRAY<STRING>) of lines s=p=value, grouped."""
-    x = F.split(F.col(text), "=", 3)
+def key_values(lines: DataFrame, text: str = "value") -> DataFrame:
+    """(s, p, value) of lines s=p=value; the value may hold further signs. Lines of no such form are left out."""
+    x = computed_once(F.split(F.col(text), "=", 3))
     rows = lines.select(x.alias("x")).where(F.size("x") == 3)
-    return rows.groupBy(F.trim(F.col("x")[0]).alias("s"), F.trim(F.col("x")[1]).alias("p")).agg(F.sort_array(F.collect_list(F.trim(F.col("x")[2]))).alias("values"))
+    return rows.select(*[F.trim(F.col("x")[i]).alias(n) for i, n in enumerate(("s", "p", "value"))])
+
+
+def read_key_values(lines: DataFrame, text: str = "value") -> DataFrame:
+    """(s, p, values ARRAY<STRING>) of lines s=p=value, for subjects whose values fit into one row."""
+    return key_values(lines, text).groupBy("s", "p").agg(F.sort_array(F.collect_list("value")).alias("values"))

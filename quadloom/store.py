@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from quadloom.model import FACTS, HYPER, RESERVED, assembled, hyper_rows, reified
 from quadloom.plans import compiler
 from quadloom.plans.query import Const, Query, QueryError
-from quadloom.session import cut_lineage
+from quadloom.session import BROADCAST_ROWS, broadcast_if_small, cut_lineage
 from quadloom.sources.text import export_lines, facts_of, hyper_of, lines_of
 from quadloom.sources.turtle import read_turtle
 
@@ -103,6 +103,11 @@ def delimited(rows: DataFrame, mark: str = "-?-") -> DataFrame:
     return rows.select(F.concat_ws(mark, *[F.col(f"`{c}`").cast("string") for c in rows.columns]).alias("line"))
 
 
+def _is_small(rows: DataFrame) -> bool:
+    """Whether checkpointed rows are few enough to be sent to the stored facts instead of those being moved to them."""
+    return rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
 class GraphStore:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
@@ -268,7 +273,7 @@ class GraphStore:
         names = self._listed(new)
         stored = self._stored(m).where("first")
         stored = stored if names is None else stored.where(F.col("p").isin(*names))
-        fresh = cut_lineage(compiler.fresh_facts(stored, new))
+        fresh = cut_lineage(compiler.fresh_facts(stored, new, small=_is_small(new)))
         n = fresh.count()
         if n or hyper is not None:
             part = self._write_part(fresh.withColumn("first", F.lit(True)), hyper)
@@ -298,8 +303,9 @@ class GraphStore:
         names = self._listed(removed) if names is None else sorted(names)
         into = self._listed(added)
         of = lambda rows, some: rows if some is None else rows.where(F.col("p").isin(*some))
-        left = lambda rows: rows.join(removed, ["s", "p", "o"], "left_anti").select("s", "p", "o", "t", "first")
-        new = cut_lineage(compiler.fresh_facts(left(of(stored.where("first"), into)), added, small=query.kind == "insert").withColumn("first", F.lit(True)))
+        gone = broadcast_if_small(removed)  # so that what stays is not moved for a few facts that go
+        left = lambda rows: rows.join(gone, ["s", "p", "o"], "left_anti").select("s", "p", "o", "t", "first")
+        new = cut_lineage(compiler.fresh_facts(left(of(stored.where("first"), into)), added, small=_is_small(added)).withColumn("first", F.lit(True)))
         hyper = None
         changed = None if names is None or into is None else {*names, *into}
         if changed is None or changed & set(RESERVED):
