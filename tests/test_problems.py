@@ -33,13 +33,14 @@ def test_dyadic_blocks_cover_exactly(spark):
             if b.mask == -1:
                 spans.append((first, ((b.idx + 1) << b.level) - 1))
             else:
-                assert b.level == intervals.WORD_BITS
+                assert b.level in (intervals.WORD_BITS, intervals.TILE_BITS)
+                unit = 1 << b.level - intervals.WORD_BITS
                 partial += 1
-                spans += [(first + k, first + k) for k in range(64) if b.mask >> k & 1]
+                spans += [(first + k * unit, first + (k + 1) * unit - 1) for k in range(64) if b.mask >> k & 1]
         spans.sort()
-        assert spans[0][0] == lo and spans[-1][1] == hi and partial <= 2
+        assert spans[0][0] == lo and spans[-1][1] == hi and partial <= 4
         assert all(x[1] + 1 == y[0] for x, y in zip(spans, spans[1:], strict=False))
-        whole = [x for x in spans if x[1] > x[0]]
+        whole = [x for x in spans if x[1] - x[0] >= 1 << intervals.TILE_BITS]
         assert len(whole) <= 2 * intervals.BITS and all(((n := b - a + 1) & (n - 1)) == 0 and a % n == 0 for a, b in whole)
 
 
