@@ -352,14 +352,14 @@ def insert_facts(facts: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def fresh_facts(facts: DataFrame, new: DataFrame, small: bool = False) -> DataFrame:
-    """Those of `new` whose (s, p, o) is not in `facts`, with their least time; facts with an empty term are left out.
+    """Those of `new` whose (s, p, o) is not in `facts`, with their least time, 'no' if they have none; facts with an empty term are left out.
 
     small: `new` was counted or stands in a query text, so it is sent to the facts instead of the facts being moved to it.
     """
     there = facts.select("s", "p", "o")
     if small:
         there = there.join(F.broadcast(new.select("s", "p", "o")), ["s", "p", "o"], "left_semi")
-    rows = new.where("s is not null and p is not null and o is not null and s <> '' and p <> '' and o <> ''").groupBy("s", "p", "o").agg(F.min("t").alias("t"))
+    rows = new.where("s is not null and p is not null and o is not null and s <> '' and p <> '' and o <> ''").groupBy("s", "p", "o").agg(F.coalesce(F.min("t"), F.lit("no")).alias("t"))
     return rows.join(there, ["s", "p", "o"], "left_anti").select("s", "p", "o", "t")
 
 

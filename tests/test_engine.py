@@ -324,8 +324,10 @@ def test_stream_batch_runs_again(spark, facts, tmp_path):
     for _ in range(2):
         db.append(text.facts_of(lines), text.hyper_of(lines, db.next_hid()).checkpoint(), ("stream", 0))
     assert rows(db.search_hyper(o="T").select("hid")) == [("hid1",)] and db.parts() == 2
+    assert db.append(spark.createDataFrame([("u", "k", "v", None)], model.FACTS)) == 1 and rows(db.search("u", "k")) == [("u", "k", "v", "no")]
+    assert db.parts() == 3
     db.append(text.facts_of(lines), None, ("stream", 1))
-    assert db.append(text.facts_of(lines), None, ("stream", 1)) == 0 and db.parts() == 2
+    assert db.append(text.facts_of(lines), None, ("stream", 1)) == 0 and db.parts() == 3
 
 
 def test_predicates_share_files_and_large_ones_are_spread(spark, tmp_path):
