@@ -222,14 +222,10 @@ def plans_of(todo: DataFrame) -> tuple[dict[str, Plan], int]:
     bins = F.least(F.lit(BINS).cast("bigint"), F.col("capacity"))
     # At most one row per kind and step: bounded by the number of kinds times BINS.
     counted = stepped(todo).groupBy("kind", bins.alias("bins"), "step").agg(F.count(F.lit(1)).alias("n")).collect()
-    plans: dict[str, Plan] = {}
-    for kind in {r.kind for r in counted}:
-        mine = [r for r in counted if r.kind == kind]
-        histogram = np.zeros(mine[0].bins + 1, dtype=np.int64)
-        for r in mine:
-            histogram[r.step] = r.n
-        plans[kind] = make_plan(histogram)
-    return plans, sum(r.n for r in counted)
+    histograms: dict[str, np.ndarray] = {}
+    for r in counted:
+        histograms.setdefault(r.kind, np.zeros(r.bins + 1, dtype=np.int64))[r.step] = r.n
+    return {kind: make_plan(h) for kind, h in histograms.items()}, sum(r.n for r in counted)
 
 
 def placed(todo: DataFrame, plans: dict[str, Plan], n: int, ids: list[str]) -> DataFrame:
@@ -278,7 +274,7 @@ def pack(lengths: DataFrame, containers: DataFrame) -> DataFrame:
     inner, n_few = plans_of(few)
     better: dict[str, Plan] = {}
     if inner:
-        inside = placed(few, inner, n_few, ["doc_id", "piece_no"]).withColumn("bundle", F.col("at.container"))
+        inside = cut_lineage(placed(few, inner, n_few, ["doc_id", "piece_no"]).withColumn("bundle", F.col("at.container")))  # read twice
         bundles = inside.groupBy("kind", F.col("whole").alias("capacity"), "bundle").agg(F.sum("n_tokens").alias("n_tokens"))
         bundles = cut_lineage(bundles)
         fine, _ = plans_of(todo.where(~short & F.col("kind").isin(*inner)).select("kind", "capacity", "n_tokens").unionByName(bundles.drop("bundle")))
@@ -287,7 +283,7 @@ def pack(lengths: DataFrame, containers: DataFrame) -> DataFrame:
         short &= F.col("kind").isin(*better)
         inside, bundles = (x.where(F.col("kind").isin(*better)) for x in (inside, bundles))
         outer = todo.where(~short).withColumn("bundle", F.lit(None).cast("bigint")).unionByName(bundles, allowMissingColumns=True)
-        outer = placed(outer, plans | better, n, ["doc_id", "piece_no", "bundle"])
+        outer = cut_lineage(placed(outer, plans | better, n, ["doc_id", "piece_no", "bundle"]))  # read twice
         to = outer.where(F.col("bundle").isNotNull()).select("kind", "bundle", F.col("at").alias("to"))
         bundled = inside.join(to, ["kind", "bundle"]).select("kind", "to", F.col("at.slot").alias("in"), *last)
         out = outer.where(F.col("bundle").isNull()).select("kind", F.col("at").alias("to"), F.lit(0).alias("in"), *last).unionByName(bundled)
