@@ -34,16 +34,32 @@ LISTED = 10_000
 STATS = {"s": ("s",), "o": ("o",), "sp": ("s", "p"), "op": ("o", "p"), "p": ("p",)}
 
 
+def _whole(facts: DataFrame) -> DataFrame:
+    """(s, p, o, t) of the facts without empty terms; no time is 'no'."""
+    rows = facts.select("s", "p", "o", F.coalesce("t", F.lit("no")).alias("t"))
+    return rows.where("s is not null and p is not null and o is not null and s <> '' and p <> '' and o <> ''")
+
+
 def build_rows(facts: DataFrame) -> DataFrame:
     """Distinct (s, p, o, t) without empty terms."""
-    rows = facts.select("s", "p", "o", F.coalesce("t", F.lit("no")).alias("t"))
-    return rows.where("s is not null and p is not null and o is not null and s <> '' and p <> '' and o <> ''").dropDuplicates()
+    return _whole(facts).dropDuplicates()
 
 
 def marked(facts: DataFrame) -> DataFrame:
-    """Distinct (s, p, o, t) with `first`, true in the row of least t of each (s, p, o). Both steps combine before they shuffle."""
-    least = facts.groupBy("s", "p", "o").agg(F.min("t").alias("t")).withColumn("first", F.lit(True))
-    return facts.select("s", "p", "o", "t").withColumn("first", F.lit(False)).unionByName(least).groupBy("s", "p", "o", "t").agg(F.max("first").alias("first"))
+    """Distinct (s, p, o, t) without empty terms, with `first`, true in the row of least t of each (s, p, o).
+
+    Facts of several times are found first. Where they are few, as is usual, they are sent to the others, which are
+    shuffled for nothing but their distinction; else the rows of least time are merged into them. All steps combine
+    before they shuffle, so that a fact with a third of all rows is no burden.
+    """
+    rows = _whole(facts)
+    several = rows.groupBy("s", "p", "o").agg(F.min("t").alias("_least"), F.max("t").alias("_last")).where("_least <> _last").drop("_last")
+    several = cut_lineage(several)
+    if _is_small(several):
+        found = rows.dropDuplicates().join(F.broadcast(several), ["s", "p", "o"], "left")
+        return found.select("s", "p", "o", "t", F.coalesce(F.col("t") == F.col("_least"), F.lit(True)).alias("first"))
+    least = rows.groupBy("s", "p", "o").agg(F.min("t").alias("t")).withColumn("first", F.lit(True))
+    return rows.withColumn("first", F.lit(False)).unionByName(least).groupBy("s", "p", "o", "t").agg(F.max("first").alias("first"))
 
 
 def stats(facts: DataFrame, kind: str) -> DataFrame:
@@ -231,7 +247,7 @@ class GraphStore:
         versions = self.versions()
         rows = facts.select("s", "p", "o", "t")
         rows = rows if hyper is None else rows.unionByName(reified(hyper))
-        part = self._write_part(marked(build_rows(rows)), hyper)
+        part = self._write_part(marked(rows), hyper)
         hypers = [] if hyper is None else [part]
         batches = self._manifest()["batches"] if versions else {}
         base = {"version": versions[-1] if versions else 0, "parts": [{"name": part, "without": []}], "hyper": hypers, "exact": True, "batches": batches}

@@ -330,6 +330,15 @@ def test_stream_batch_runs_again(spark, facts, tmp_path):
     assert db.append(text.facts_of(lines), None, ("stream", 1)) == 0 and db.parts() == 3
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_one_row_of_each_fact_is_first(facts, monkeypatch, few):
+    monkeypatch.setattr(store, "_is_small", lambda _: few)
+    more = facts.unionByName(facts.sparkSession.createDataFrame([("a", "q", "x", None), ("", "q", "x", "no"), ("z", "q", None, "no")], model.FACTS))
+    found = rows(store.marked(more))
+    assert [r[:4] for r in found] == rows(store.build_rows(more))
+    assert sorted(r[:4] for r in found if r[4]) == sorted((*k, min(f[3] for f in FACTS if f[:3] == k)) for k in {f[:3] for f in FACTS})
+
+
 def test_predicates_share_files_and_large_ones_are_spread(spark, tmp_path):
     many = spark.range(40_000).selectExpr("concat('s', id % 20000) as s", "'big' as p", "concat('o', id) as o", "'no' as t")
     few = spark.range(50).selectExpr("'x' as s", "concat('small', id) as p", "'y' as o", "'no' as t")
