@@ -338,7 +338,7 @@ def run(facts: DataFrame, text: str, sizes: Sizes | None = None, strict: bool =
         return select(facts, query, sizes, hyper)
     removed, added = changes(facts, query, sizes)
     due = None if query.kind in ("insert", "delete") else _row_condition(query.where)
-    kept = facts.where(~due) if due is not None else facts.join(removed, ["s", "p", "o"], "left_anti")
+    kept = facts if query.kind == "insert" else facts.where(~due) if due is not None else facts.join(removed, ["s", "p", "o"], "left_anti")
     return applied(kept.select("s", "p", "o", "t"), added, query)
 
 
