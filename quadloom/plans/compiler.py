@@ -338,10 +338,22 @@ def run(facts: DataFrame, text: str, sizes: Sizes | None = None, strict: bool =
         return select(facts, query, sizes, hyper)
     removed, added = changes(facts, query, sizes)
     due = None if query.kind in ("insert", "delete") else _row_condition(query.where)
-    kept = facts if query.kind == "insert" else facts.where(~due) if due is not None else facts.join(removed, ["s", "p", "o"], "left_anti")
+    kept = facts if query.kind == "insert" else facts.where(~due) if due is not None else _without(facts, removed, query)
     return applied(kept.select("s", "p", "o", "t"), added, query)
 
 
+def _without(facts: DataFrame, removed: DataFrame, query: Query) -> DataFrame:
+    """The facts but for `removed`; facts of predicates that an update form removes nothing of pass by the join."""
+    names = predicates_removed(query)
+    if query.kind == "delete":
+        removed = F.broadcast(removed)  # it stands in the query text
+    if names is None:
+        return facts.join(removed, ["s", "p", "o"], "left_anti")
+    mine = F.col("p").isin(*names)
+    left = facts.where(mine).join(removed, ["s", "p", "o"], "left_anti")
+    return facts.where(~mine).select("s", "p", "o", "t").unionByName(left.select("s", "p", "o", "t"))
+
+
 def _as_rows(facts: DataFrame, patterns: list[Pattern]) -> DataFrame:
     return facts.sparkSession.createDataFrame([(p.s.value, p.p.value, p.o.value) for p in patterns], "s string, p string, o string").distinct()
 
