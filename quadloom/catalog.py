@@ -32,7 +32,8 @@ def _ask(name: str, text: str, sql: str) -> None:
         names = compiler.predicates_read(query)
         # The join order of three and more patterns matters; a store has these sizes in its statistics.
         sizes = mapped_sizes(spark, d, names, counted=len(compiler.all_patterns(query)) > 2)
-        return compiler.run(mapped_facts(spark, d, *(names or ())), text, sizes)
+        matched = None if query.kind == "select" else mapped_facts(spark, d, *(compiler.predicates_matched(query) or ()))
+        return compiler.run(mapped_facts(spark, d, *(names or ())), text, sizes, matched=matched)
 
     QUERIES[name] = run
     ORACLES[name] = sql

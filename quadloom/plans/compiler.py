@@ -315,12 +315,16 @@ def all_patterns(query: Query) -> list[Pattern]:
     return [p for g in query.where.groups() for p in g.patterns] + query.new
 
 
-def predicates_read(query: Query) -> set[str] | None:
-    """Predicates whose facts decide the result; null for all of them, as where one has a variable or the facts are changed."""
-    filters = [f for g in query.where.groups() for f in g.filters if f.op == "reaches"]
-    if query.kind != "select" or (named := _named(all_patterns(query))) is None:
+def predicates_matched(query: Query) -> set[str] | None:
+    """Predicates whose facts decide what a query finds or changes; null for all of them, as where one has a variable."""
+    if (named := _named(all_patterns(query))) is None:
         return None
-    return named | {f.args[1].value for f in filters}
+    return named | {f.args[1].value for g in query.where.groups() for f in g.filters if f.op == "reaches"}
+
+
+def predicates_read(query: Query) -> set[str] | None:
+    """Predicates whose facts the result is made of; null for all of them, as in the facts after an update."""
+    return predicates_matched(query) if query.kind == "select" else None
 
 
 def checked(text: str, strict: bool) -> Query:
@@ -331,12 +335,17 @@ def checked(text: str, strict: bool) -> Query:
     return query
 
 
-def run(facts: DataFrame, text: str, sizes: Sizes | None = None, strict: bool = False, hyper: DataFrame | None = None) -> DataFrame:
-    """A SELECT gives its rows, an update form the facts after it."""
+def run(
+    facts: DataFrame, text: str, sizes: Sizes | None = None, strict: bool = False, hyper: DataFrame | None = None, matched: DataFrame | None = None
+) -> DataFrame:
+    """A SELECT gives its rows, an update form the facts after it.
+
+    `matched`, the facts of predicates_matched alone, keeps the plan of an update small where `facts` has a large one.
+    """
     query = checked(text, strict)
     if query.kind == "select":
         return select(facts, query, sizes, hyper)
-    removed, added = changes(facts, query, sizes)
+    removed, added = changes(facts if matched is None else matched, query, sizes)
     due = None if query.kind in ("insert", "delete") else _row_condition(query.where)
     kept = facts if query.kind == "insert" else facts.where(~due) if due is not None else _without(facts, removed, query)
     return applied(kept.select("s", "p", "o", "t"), added, query)
