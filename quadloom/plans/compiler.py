@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Mapping
 from dataclasses import dataclass, field
+from math import ceil, prod
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,11 @@ Sizes = Mapping[str | None, Size]
 UNKNOWN = Size(1e12, 1e9, 1e9)
 #: Distinct predicates where they are not known.
 PREDICATES = 100.0
+#: A join that is expected to give over FAN_OUT times the rows that it takes is dealt out by its result, in tasks of this many rows.
+FAN_OUT = 16
+ROWS_A_TASK = 2**24
+#: Tasks of such a join at most; beyond that they get more rows.
+FAN_TASKS = 1024
 
 
 def predicate_sizes(facts: DataFrame, patterns: list[Pattern]) -> dict[str | None, Size]:
@@ -156,6 +162,21 @@ def _joined(left: DataFrame | None, right: DataFrame, how: str = "inner") -> Dat
     return left.join(right, shared, how) if shared else left.join(right, how="cross" if how == "inner" else how)
 
 
+def _fanned(many: DataFrame, few: DataFrame, tasks: int, keys: float) -> DataFrame:
+    """The join of two relations that is far larger than both, over `tasks` tasks whatever the number of its `keys`.
+
+    By its keys alone such a join has a few tasks, as few keys make it, and adaptive execution puts those together for
+    their small input. So the rows of a key in `many` are dealt out by their hash, and each deal meets a copy of the
+    rows of that key in `few`: every pair meets once. Exchanges of a given width are not put together. A task sees few
+    keys, so the terms it gives fit a dictionary of the file.
+    """
+    deals = max(1, ceil(2 * tasks / keys))
+    on = [c for c in many.columns if c in few.columns] + ["#deal"]  # no name of a variable
+    dealt = many.withColumn("#deal", F.pmod(F.xxhash64(*many.columns), F.lit(deals)).cast("int"))
+    copies = few.withColumn("#deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
+    return dealt.repartition(tasks, *on).join(copies.repartition(tasks, *on).hint("shuffle_hash"), on).drop("#deal")
+
+
 #: Columns of the hyperedge table that hold what a reserved predicate states.
 _PARTS = dict(zip(RESERVED, ("predicate", "subject", "stime", "etime", "objects"), strict=True))
 
@@ -202,10 +223,14 @@ def _said(term: Term) -> str:
     return f"<{term.value}>" if isinstance(term, Const) else f"?{term.name}"
 
 
-def eval_bgp(facts: DataFrame, patterns: list[Pattern], sizes: Sizes | None = None, hyper: DataFrame | None = None) -> DataFrame | None:
+def eval_bgp(
+    facts: DataFrame, patterns: list[Pattern], sizes: Sizes | None = None, hyper: DataFrame | None = None, filters: list[Filter] | None = None
+) -> DataFrame | None:
     """Bindings of all patterns, joined on every variable they share; patterns that share none give a product.
 
     With `hyper`, the hyperedges that the reserved facts stand for, patterns that put hyperedges together are read from it.
+    `filters`, comparisons of variables of the patterns, apply to the first join that binds their variables; above a
+    later join, that binds one of them again, each of its rows would be compared.
     """
     sizes = sizes or {}
     leaves: list[tuple[Tree, Estimate]] = []
@@ -220,12 +245,35 @@ def eval_bgp(facts: DataFrame, patterns: list[Pattern], sizes: Sizes | None = No
     if not leaves:
         return None
 
-    def rows(tree: Tree) -> DataFrame:
-        if isinstance(tree, tuple):
-            return _joined(rows(tree[0]), rows(tree[1]))
-        return ready[tree] if tree in ready else scan(facts, tree, size_of(tree, sizes).repeats)
+    expected = dict(leaves)
+
+    def rows(tree: Tree, left: list[Filter]) -> tuple[DataFrame, Estimate]:
+        if not isinstance(tree, tuple):
+            out, size = ready[tree] if tree in ready else scan(facts, tree, size_of(tree, sizes).repeats), expected[tree]
+            return _filtered(out, left), size
+        bound = [_bound(t, expected) for t in tree]
+        below = [[f for f in left if set(_filter_names(f)) <= b] for b in bound]
+        (a, n), (b, m) = rows(tree[0], below[0]), rows(tree[1], below[1])
+        out, shared = _both(n, m), set(n.distinct) & set(m.distinct)
+        if not shared or out.rows <= ROWS_A_TASK or out.rows <= FAN_OUT * (n.rows + m.rows) or max(n.rows, m.rows) >= UNKNOWN.facts:
+            joined = _joined(a, b)
+        else:
+            keys = prod(max(1.0, min(n.distinct[v], m.distinct[v])) for v in shared)
+            many, few = (a, b) if n.rows >= m.rows else (b, a)
+            joined = _fanned(many, few, min(ceil(out.rows / ROWS_A_TASK), FAN_TASKS), keys)
+        return _filtered(joined, [f for f in left if f not in below[0] and f not in below[1]]), out
+
+    return rows(join_tree(leaves), list(filters or []))[0]
+
+
+def _bound(tree: Tree, leaves: Mapping[Pattern, Estimate]) -> set[str]:
+    return _bound(tree[0], leaves) | _bound(tree[1], leaves) if isinstance(tree, tuple) else set(leaves[tree].distinct)
+
 
-    return rows(join_tree(leaves))
+def _filtered(rows: DataFrame, filters: list[Filter]) -> DataFrame:
+    for f in filters:
+        rows = rows.where(_comparison(f))
+    return rows
 
 
 def _comparison(f: Filter) -> Column:
@@ -273,7 +321,9 @@ def eval_group(
 
     if trace is not None:
         trace.patterns += [(p, mark) for p in group.patterns]
-    out = eval_bgp(facts, group.patterns, sizes, hyper)
+    named = {v for p in group.patterns for v in p.variables()}
+    early = [f for f in group.filters if f.op != "reaches" and set(_filter_names(f)) <= named]
+    out = eval_bgp(facts, group.patterns, sizes, hyper, early)
     for branches in group.unions:
         parts = [inner(b) for b in branches]
         union = parts[0]
@@ -285,7 +335,8 @@ def eval_group(
     for g in group.optionals:
         out = _joined(out, inner(g), "left")
     for f in group.filters:
-        out = apply_filter(out, f, facts)
+        if f not in early:
+            out = apply_filter(out, f, facts)
     return out
 
 

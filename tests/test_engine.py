@@ -127,6 +127,28 @@ def _leaves(tree):
     return [tree.p.value] if isinstance(tree, Pattern) else [x for t in tree for x in _leaves(t)]
 
 
+#: Sizes that are claimed for few facts, so that a join is dealt out as if it were large.
+CLAIMED = {"cn": compiler.Size(9e5, 9e5, 25, False), "sn": compiler.Size(6e4, 6e4, 25, False), "nr": compiler.Size(25, 25, 5, False)}
+PAIRS = "select ?c ?s where {{ ?c <cn> ?n . ?s <sn> ?m . ?n <nr> ?r . ?m <nr> ?r filter(?n {} ?m) }}"
+
+
+def pairs(spark):
+    customers, suppliers, nations = [(f"c{i}", f"n{i % 5}") for i in range(40)] + [("c0", "n1")], [(f"s{i}", f"n{i % 4}") for i in range(12)], [(f"n{i}", f"r{i % 2}") for i in range(5)]
+    data = [(s, p, o, "no") for p, found in (("cn", customers), ("sn", suppliers), ("nr", nations)) for s, o in found]
+    return customers, suppliers, dict(nations), spark.createDataFrame(data, model.FACTS)
+
+
+@pytest.mark.parametrize(("op", "same"), [("=", True)])
+def test_pairs_of_few_keys_are_dealt_out_by_their_number(spark, monkeypatch, op, same):
+    monkeypatch.setattr(compiler, "FAN_TASKS", 24, raising=False)
+    customers, suppliers, region, facts = pairs(spark)
+    got = compiler.run(facts, PAIRS.format(op), CLAIMED)
+    want = Counter((c, s) for c, n in customers for s, m in suppliers if region[n] == region[m] and (n == m) == same)
+    assert Counter(tuple(r) for r in got.collect()) == want
+    # By its five keys alone it had as many tasks at most, and fewer where they were put together for their small input.
+    assert got.rdd.getNumPartitions() == 24
+
+
 def test_updates(facts):
     def after(text):
         return Counter(tuple(r) for r in compiler.run(facts, text).collect())
