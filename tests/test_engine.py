@@ -138,7 +138,7 @@ def pairs(spark):
     return customers, suppliers, dict(nations), spark.createDataFrame(data, model.FACTS)
 
 
-@pytest.mark.parametrize(("op", "same"), [("=", True)])
+@pytest.mark.parametrize(("op", "same"), [("=", True), ("!=", False)])
 def test_pairs_of_few_keys_are_dealt_out_by_their_number(spark, monkeypatch, op, same):
     monkeypatch.setattr(compiler, "FAN_TASKS", 24, raising=False)
     customers, suppliers, region, facts = pairs(spark)
