@@ -30,8 +30,8 @@ def _ask(name: str, text: str, sql: str) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
         query = parse(text)
         names = compiler.predicates_read(query)
-        # The join order of three and more patterns matters; a store has these sizes in its statistics.
-        sizes = mapped_sizes(spark, d, names, counted=len(compiler.all_patterns(query)) > 2)
+        # The order of joins and the size of their results matter; a store has these sizes in its statistics.
+        sizes = mapped_sizes(spark, d, names, counted=len(compiler.all_patterns(query)) > 1)
         matched = None if query.kind == "select" else mapped_facts(spark, d, *(compiler.predicates_matched(query) or ()))
         return compiler.run(mapped_facts(spark, d, *(names or ())), text, sizes, matched=matched)
 

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from quadloom.plans import compiler
 from tests.conftest import rows
 
 TABLES = {
@@ -73,3 +74,11 @@ def test_updates_keep_every_other_fact(spark, data, name):
     # The facts with their times: a part shipped twice is two, and supplied twice.
     assert len(found) == n and {r[1] for r in found} == PREDICATES and new <= {x for r in found for x in r}
     assert ("customer/2", "c_mktsegment", "ASIA", "no") in found
+
+
+def test_two_patterns_are_counted(spark, data, monkeypatch):
+    monkeypatch.setattr(compiler, "FAN_OUT", 0, raising=False)
+    monkeypatch.setattr(compiler, "ROWS_A_TASK", 0.1, raising=False)
+    assert against_sql(spark, data, "join_star_oo") == [("customer/1", "supplier/5", "nation/3")]
+    # One row is expected, by two customers, one supplier and two nations.
+    assert entry.queries()["join_star_oo"](spark, data).rdd.getNumPartitions() == 10
