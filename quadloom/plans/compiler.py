@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Mapping
 from dataclasses import dataclass, field
-from math import ceil, prod
+from math import ceil, prod, sqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,9 +32,12 @@ UNKNOWN = Size(1e12, 1e9, 1e9)
 PREDICATES = 100.0
 #: A join that is expected to give over FAN_OUT times the rows that it takes is dealt out by its result, in tasks of this many rows.
 FAN_OUT = 16
-ROWS_A_TASK = 2**24
+#: What a writer gathers of so few rows is released before the garbage collector takes it for old.
+ROWS_A_TASK = 2**22
 #: Tasks of such a join at most; beyond that they get more rows.
-FAN_TASKS = 1024
+FAN_TASKS = 4096
+#: Copies that a task of such a join makes of its rows before they are dealt out.
+COPIES_A_TASK = 2**20
 
 
 def predicate_sizes(facts: DataFrame, patterns: list[Pattern]) -> dict[str | None, Size]:
@@ -162,19 +165,32 @@ def _joined(left: DataFrame | None, right: DataFrame, how: str = "inner") -> Dat
     return left.join(right, shared, how) if shared else left.join(right, how="cross" if how == "inner" else how)
 
 
-def _fanned(many: DataFrame, few: DataFrame, tasks: int, keys: float) -> DataFrame:
+def _fanned(many: DataFrame, few: DataFrame, tasks: int, keys: float, sizes: tuple[float, float]) -> DataFrame:
     """The join of two relations that is far larger than both, over `tasks` tasks whatever the number of its `keys`.
 
     By its keys alone such a join has a few tasks, as few keys make it, and adaptive execution puts those together for
-    their small input. So the rows of a key in `many` are dealt out by their hash, and each deal meets a copy of the
-    rows of that key in `few`: every pair meets once. Exchanges of a given width are not put together. A task sees few
-    keys, so the terms it gives fit a dictionary of the file.
+    their small input. So the pairs of a key are dealt out as a grid: its rows in `many` by their hash into lines, those
+    in `few` into columns, and each field meets copies of one line and one column, so every pair meets once. Where lines
+    and columns are as long, copies are fewest. `sizes` are the expected rows of both.
+
+    Exchanges of a given width are not put together. The merge takes one field after the other and buffers its column
+    alone, so a task holds few rows, and the terms it gives fit a dictionary of the file.
     """
     deals = max(1, ceil(2 * tasks / keys))
+    lines = min(deals, ceil(sqrt(deals * sizes[0] / max(sizes[1], 1.0))))
+    columns = ceil(deals / lines)
     on = [c for c in many.columns if c in few.columns] + ["#deal"]  # no name of a variable
-    dealt = many.withColumn("#deal", F.pmod(F.xxhash64(*many.columns), F.lit(deals)).cast("int"))
-    copies = few.withColumn("#deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
-    return dealt.repartition(tasks, *on).join(copies.repartition(tasks, *on).hint("shuffle_hash"), on).drop("#deal")
+    line, column = F.pmod(F.xxhash64(*many.columns), F.lit(lines)).cast("int"), F.pmod(F.xxhash64(*few.columns), F.lit(columns)).cast("int")
+    a = _copied(many, F.sequence(line * columns, line * columns + (columns - 1)), columns, sizes[0])
+    b = _copied(few, F.sequence(column, column + (lines - 1) * columns, F.lit(columns)), lines, sizes[1])
+    return a.repartition(tasks, *on).join(b.repartition(tasks, *on).hint("merge"), on).drop("#deal")
+
+
+def _copied(rows: DataFrame, deals: Column, copies: int, expected: float) -> DataFrame:
+    """`rows` for each of their `copies` `deals`. A task that shuffles holds what it writes in memory, so many copies are made by many tasks."""
+    if copies > 1 and (width := ceil(expected * copies / COPIES_A_TASK)) > 1:
+        rows = rows.repartition(min(width, FAN_TASKS))
+    return rows.withColumn("#deal", F.explode(deals))
 
 
 #: Columns of the hyperedge table that hold what a reserved predicate states.
@@ -260,7 +276,7 @@ def eval_bgp(
         else:
             keys = prod(max(1.0, min(n.distinct[v], m.distinct[v])) for v in shared)
             many, few = (a, b) if n.rows >= m.rows else (b, a)
-            joined = _fanned(many, few, min(ceil(out.rows / ROWS_A_TASK), FAN_TASKS), keys)
+            joined = _fanned(many, few, min(ceil(out.rows / ROWS_A_TASK), FAN_TASKS), keys, (max(n.rows, m.rows), min(n.rows, m.rows)))
         return _filtered(joined, [f for f in left if f not in below[0] and f not in below[1]]), out
 
     return rows(join_tree(leaves), list(filters or []))[0]

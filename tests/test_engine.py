@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -149,6 +150,18 @@ def test_pairs_of_few_keys_are_dealt_out_by_their_number(spark, monkeypatch, op,
     assert got.rdd.getNumPartitions() == 24
 
 
+@pytest.mark.parametrize("claimed", [6e4, 9e5])
+def test_pairs_meet_in_a_grid_whose_copies_many_tasks_make(spark, monkeypatch, claimed):
+    monkeypatch.setattr(compiler, "FAN_TASKS", 120)
+    customers, suppliers, region, facts = pairs(spark)
+    got = compiler.run(facts, PAIRS.format("!="), CLAIMED | {"sn": compiler.Size(claimed, claimed, 25, False)})
+    want = Counter((c, s) for c, n in customers for s, m in suppliers if region[n] == region[m] and n != m)
+    assert Counter(tuple(r) for r in got.collect()) == want
+    # One task made every copy of the smaller side, and held them in memory until they were dealt out.
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Repartition [2-9], true", plan)) == 2
+
+
 def test_updates(facts):
     def after(text):
         return Counter(tuple(r) for r in compiler.run(facts, text).collect())
